@@ -60,17 +60,11 @@ def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
         df.select("_metadata.row_index")
     except AnalysisException:
         df = store(df, "rows")
-    files = sorted(df.inputFiles())
-    if not files:
-        return df.withColumn(name, F.lit(0).cast("long"))
     spark = df.sparkSession
+    files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())  # a row per input file
     numbers = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "__file string, __no long")
     out = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return (
-        out.join(F.broadcast(numbers), "__file", "left")
-        .withColumn(name, F.shiftleft(F.coalesce("__no", F.lit(0)), 40) + F.col("__row"))
-        .drop("__file", "__row", "__no")
-    )
+    return out.join(F.broadcast(numbers), "__file").withColumn(name, F.shiftleft("__no", 40) + F.col("__row")).drop("__file", "__row", "__no")
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:

@@ -316,7 +316,7 @@ def _halves(hot: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _sorted_marks(pieces: DataFrame, width: int, weight: int = 3 << 20) -> DataFrame:
+def _sorted_marks(pieces: DataFrame, width: int, weight: int = 1 << 20) -> DataFrame:
     """Marks (rid, lo, hi) of the windows of pieces met once (c = 1) that occur again in their group's suffix array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
