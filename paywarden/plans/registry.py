@@ -1,10 +1,350 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the driver's tables, and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import crypto, scalars, urls
+from ..functions.detect import PATTERNS, detect, entity_types, fold, normalise, redact, spans
+from ..functions.json_scan import scan_json
+from ..operators import admission, audit, ecosystem, evaluation, payments
+from ..sources import corpus, facade
+from . import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+KEY = bytes(range(32))
+SINCE = "1995-01-01"
+POLICY = admission.Policy(150.0, 300.0, {"https://purchase.example.com": 120.0, "https://click.example.com": 200.0})
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+F_SQL = "f AS (SELECT c_custkey AS address, c_mktsegment AS project, n_name AS blockchain FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+T_SQL = "t AS (SELECT o_custkey AS \"from\", n_name AS blockchain, o_orderdate AS block_time, o_orderstatus <> 'P' AS success FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
+VOLUME = "count(*) AS tx_count, min(block_time) AS first_tx, max(block_time) AS last_tx, count(DISTINCT date_trunc('day', block_time)) AS active_days, round(count(*)::DOUBLE / nullif(count(DISTINCT date_trunc('day', block_time)), 0), 1) AS avg_tx_per_day"
+ON = f"ON t.\"from\" = f.address AND t.blockchain = f.blockchain WHERE success AND block_time >= TIMESTAMP '{SINCE}'"
+RE2 = {k: p.replace("(?U)", "") for k, p in PATTERNS.items()} | {
+    "US_SSN": r"\b(?:00[1-9]|0[1-9][0-9]|[1-57-8][0-9]{2}|6[0-57-9][0-9]|66[0-57-9])[-\s]?(?:0[1-9]|[1-9][0-9])[-\s]?(?:000[1-9]|00[1-9][0-9]|0[1-9][0-9]{2}|[1-9][0-9]{3})\b"
+}
+PAY_SQL = "p AS (SELECT event_id AS payment_id, user_id AS agent_id, ts, value AS amount_usd, 'https://' || event_type || '.example.com/' || user_id AS resource_url, '0x' || (user_id % 7) AS pay_to, event_type, props FROM events)"
+AUDIT_SQL = """a AS (SELECT event_id AS seq, ts AS timestamp, CASE event_type WHEN 'click' THEN 'PAYMENT_ALLOWED' WHEN 'purchase' THEN 'PII_REDACTED' WHEN 'error' THEN 'PAYMENT_ERROR' WHEN 'signup' THEN 'POLICY_BLOCKED' WHEN 'view' THEN 'REPLAY_BLOCKED' END AS event_type,
+ value AS amount_usd, user_id::VARCHAR AS agent_id, CASE WHEN event_type IN ('signup', 'view', 'error') THEN 'blocked' ELSE 'allowed' END AS outcome,
+ CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN ['EMAIL_ADDRESS', 'US_SSN'] ELSE ['EMAIL_ADDRESS'] END ELSE []::VARCHAR[] END AS pii FROM events)"""
+
+
+def hmac_sql(message: str, key: bytes = KEY) -> str:
+    pad = lambda x: bytes(b ^ x for b in key.ljust(64, b"\0")).hex()
+    return f"sha256(unhex('{pad(0x5C)}') || unhex(sha256(unhex('{pad(0x36)}') || encode({message}))))"
+
+
+# ---------------------------------------------------------------- volume
+
+
+@query(f"WITH {F_SQL} SELECT blockchain, project, count(*) AS wallet_count, list_sort(list(address))[1:3] AS sample_addresses FROM f GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2")
+def facilitator_list(spark, sf):
+    return ecosystem.facilitator_list(facade.facilitators(spark, sf))
+
+
+@query(f"WITH {F_SQL}, {T_SQL} SELECT f.blockchain, project, {VOLUME} FROM t JOIN f {ON} GROUP BY 1, 2 ORDER BY tx_count DESC, 1, 2 LIMIT 100")
+def volume_by_chain_project(spark, sf):
+    return ecosystem.by_chain_and_project(facade.facilitators(spark, sf), facade.transactions(spark, sf), SINCE)
+
+
+@query(f"WITH {F_SQL}, {T_SQL} SELECT project, {VOLUME} FROM t JOIN f {ON} AND f.blockchain = 'NATION_0' GROUP BY 1")
+def volume_single_chain(spark, sf):
+    return ecosystem.single_chain(facade.facilitators(spark, sf), facade.transactions(spark, sf), "NATION_0", SINCE)
+
+
+@query(f"WITH {F_SQL}, {T_SQL} SELECT * EXCLUDE (first_tx) FROM (SELECT f.blockchain, project, {VOLUME} FROM t JOIN f {ON} AND f.blockchain NOT IN ('NATION_0', 'NATION_1') GROUP BY 1, 2)")
+def volume_other_chains(spark, sf):
+    return ecosystem.other_chains(facade.facilitators(spark, sf), facade.transactions(spark, sf), ("NATION_0", "NATION_1"), SINCE)
+
+
+@query(f"WITH {F_SQL}, {T_SQL} SELECT count(*) AS tx_count, min(block_time) AS first_tx, max(block_time) AS last_tx FROM t WHERE success AND block_time >= TIMESTAMP '{SINCE}' AND blockchain = 'NATION_2' AND \"from\" IN (SELECT address FROM f WHERE blockchain = 'NATION_2')")
+def volume_chain_fallback(spark, sf):
+    return ecosystem.chain_totals(facade.facilitators(spark, sf), facade.transactions(spark, sf), "NATION_2", SINCE)
+
+
+@query(f"WITH {F_SQL} SELECT address::VARCHAR AS address, project, blockchain FROM f WHERE lower(address::VARCHAR) IN ('1','5','11','77','100','149','500','901','1200','1400')")
+def resolve_unknowns(spark, sf):
+    return ecosystem.resolve_unknowns(facade.facilitators(spark, sf), ("1", "5", "11", "77", "100", "149", "500", "901", "1200", "1400"))
+
+
+# ---------------------------------------------------------------- personal data
+
+
+@query("WITH m AS (" + " UNION ALL ".join(f"SELECT '{k}' AS entity_type, len(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS n FROM documents" for k, p in RE2.items()) + ") SELECT entity_type, sum(n)::BIGINT AS n FROM m GROUP BY 1")
+def pii_counts_by_type(spark, sf):
+    t = F.col("text")
+    one = F.array(*[F.struct(F.lit(k).alias("entity_type"), F.size(spans(t, k)).cast("long").alias("n")) for k in PATTERNS])
+    return facade.table(spark, sf, "documents").select(F.inline(one)).groupBy("entity_type").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT conv_id, turn, " + ", ".join(f"len(regexp_extract_all(text, '{p}'))::BIGINT AS n_{k.lower()}" for k, p in RE2.items()) + " FROM conversations")
+def pii_per_turn(spark, sf):
+    return facade.table(spark, sf, "conversations").select("conv_id", "turn", *[F.size(spans(F.col("text"), k)).cast("long").alias(f"n_{k.lower()}") for k in PATTERNS])
+
+
+@query()
+def pii_redacted(spark, sf):
+    d = facade.table(spark, sf, "documents").withColumn("found", detect(fold(F.col("text"))))
+    return d.select("doc_id", redact(fold(F.col("text")), F.col("found"), "[REDACTED:{entity_type}]").alias("clean"), F.size("found").alias("n"), entity_types(F.col("found")).alias("types"))
+
+
+@query()
+def pii_spans(spark, sf):
+    d = facade.table(spark, sf, "documents")
+    return d.select("doc_id", F.inline(detect(fold(F.col("text"))))).drop("rank")
+
+
+@query()
+def pii_normalised(spark, sf):
+    return facade.table(spark, sf, "documents").select("doc_id", F.sha2(normalise(F.col("text")), 256).alias("clean_sha256"))
+
+
+@query(
+    "WITH c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS config, len(regexp_extract_all(text, '{p}')) AS n FROM documents" for k, p in RE2.items())
+    + ") SELECT config, count(*) FILTER (n > 0) AS texts_with_any, sum(n)::BIGINT AS entities FROM c GROUP BY 1"
+)
+def pii_subset_sweep(spark, sf):
+    return evaluation.sweep(facade.table(spark, sf, "documents"), subsets=evaluation.SUBSETS[:-1])
+
+
+@query()
+def json_scan(spark, sf):
+    e = facade.table(spark, sf, "events")
+    nested = F.concat(F.lit('{"contacts":[{"mail":"u'), F.col("user_id").cast("string"), F.lit('@example.com"}],"props":'), "props", F.lit("}"))
+    return e.select("event_id", scan_json(nested).alias("s")).select("event_id", "s.clean", "s.entity_types", "s.valid")
+
+
+# ---------------------------------------------------------------- payments
+
+
+@query(
+    f"WITH {PAY_SQL}, h AS (SELECT *, CASE WHEN payment_id % 5 = 0 THEN 'not json' WHEN payment_id % 7 = 0 THEN '{{\"accepts\":[]}}' ELSE '{{\"accepts\":[{{\"scheme\":\"upto\"}},{{\"scheme\":\"exact\",\"network\":\"base\",\"maxAmountRequired\":\"' || payment_id || '\",\"resource\":\"' || resource_url || '\",\"payTo\":\"' || pay_to || '\"}}]}}' END AS x FROM p) "
+    "SELECT payment_id, CASE WHEN payment_id % 5 = 0 THEN 'invalid_json' WHEN payment_id % 7 = 0 THEN 'no_offers' END AS header_error, x ->> '$.accepts[1].resource' AS resource_url, x ->> '$.accepts[1].maxAmountRequired' AS amount, 'USDC' AS currency, 300 AS deadline_seconds FROM (SELECT payment_id, CASE WHEN payment_id % 5 = 0 THEN NULL ELSE x END AS x FROM h)"
+)
+def header_parse(spark, sf):
+    p = facade.payments(spark, sf)
+    body = F.concat(F.lit('{"accepts":[{"scheme":"upto"},{"scheme":"exact","network":"base","maxAmountRequired":"'), F.col("payment_id").cast("string"), F.lit('","resource":"'), "resource_url", F.lit('","payTo":"'), "pay_to", F.lit('"}]}'))
+    header = F.when(F.col("payment_id") % 5 == 0, "not json").when(F.col("payment_id") % 7 == 0, '{"accepts":[]}').otherwise(body)
+    out = p.select("payment_id", payments.parse_header(header).alias("h"))
+    return out.select("payment_id", "h.header_error", "h.resource_url", "h.amount", "h.currency", "h.deadline_seconds")
+
+
+@query(
+    "WITH v AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'nan' WHEN 1 THEN '-1.0' WHEN 2 THEN 'inf' WHEN 3 THEN '1_0.5' ELSE value::VARCHAR END AS amount, CASE WHEN event_id % 11 = 0 THEN 'eur' ELSE 'usdc' END AS currency FROM events) "
+    "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'not_a_number' WHEN 1 THEN 'negative' WHEN 2 THEN 'not_a_number' ELSE CASE WHEN currency = 'eur' THEN 'unsupported_currency' END END AS error, CASE WHEN event_id % 6 < 3 OR currency = 'eur' THEN NULL ELSE replace(amount, '_', '')::DOUBLE END AS usd FROM v"
+)
+def amount_usd(spark, sf):
+    e = facade.table(spark, sf, "events")
+    k = F.col("event_id") % 6
+    amount = F.when(k == 0, "nan").when(k == 1, "-1.0").when(k == 2, "inf").when(k == 3, "1_0.5").otherwise(F.col("value").cast("string"))
+    currency = F.when(F.col("event_id") % 11 == 0, "eur").otherwise("usdc")
+    return e.select("event_id", scalars.amount_error(amount, currency).alias("error"), scalars.amount_usd(amount, currency).alias("usd"))
+
+
+@query(f"WITH {PAY_SQL} SELECT payment_id, {hmac_sql(chr(39).join(['concat_ws(', '|', ', resource_url, pay_to, payment_id::VARCHAR, ', 'USDC', ', ', '300', ')']))} AS fingerprint FROM p")
+def payment_fingerprint(spark, sf):
+    p = facade.payments(spark, sf)
+    return p.select("payment_id", crypto.fingerprint(F.col("resource_url"), F.col("pay_to"), F.col("payment_id").cast("string"), F.col("currency"), F.col("deadline_seconds"), KEY).alias("fingerprint"))
+
+
+@query(f"WITH {PAY_SQL} SELECT payment_id, NOT (agent_id % 3 = 0 AND event_type = 'click') OR pay_to IN ('0x0', '0x3') AS wallet_ok FROM p")
+def wallet_allowlist(spark, sf):
+    p = facade.payments(spark, sf).withColumn("resource_url", F.when((F.col("agent_id") % 3 == 0) & (F.col("event_type") == "click"), F.lit("HTTPS://Click.Example.com:443/x")).otherwise(F.lit("https://free.example.com/")))
+    trusted = spark.createDataFrame([("https://click.example.com/", "0x0"), ("https://click.example.com", "0x3")], "origin string, wallet string")
+    return admission.wallet_check(p, trusted).select("payment_id", "wallet_ok")
+
+
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+  CASE event_type WHEN 'purchase' THEN 120.0 WHEN 'click' THEN 200.0 END AS cap FROM events),
+s AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::VARCHAR AS verdict, []::STRUCT(t BIGINT, v DOUBLE, e VARCHAR)[] AS w FROM events GROUP BY user_id
+ UNION ALL
+ SELECT user_id, n, event_id, verdict, CASE WHEN verdict = 'allowed' THEN list_append(w, {'t': t, 'v': v, 'e': event_type}) ELSE w END
+ FROM (SELECT user_id, n, event_id, t, v, event_type, w, CASE WHEN v > 150 THEN 'per_call'
+   WHEN list_reduce(list_transform(w, lambda x: x.v), lambda a, b: a + b, 0.0::DOUBLE) + v > 300 THEN 'daily_limit'
+   WHEN cap IS NOT NULL AND list_reduce(list_transform(list_filter(w, lambda x: x.e = event_type), lambda x: x.v), lambda a, b: a + b, 0.0::DOUBLE) + v > cap THEN 'per_endpoint' ELSE 'allowed' END AS verdict
+  FROM (SELECT o.*, list_filter(s.w, lambda x: x.t >= o.t - 86400000000) AS w FROM s JOIN o ON o.user_id = s.user_id AND o.n = s.n + 1)))
+SELECT event_id AS payment_id, verdict AS policy_verdict FROM s WHERE n > 0""")
+def budget_decisions(spark, sf):
+    return admission.budget_decisions(facade.payments(spark, sf), POLICY).select("payment_id", "policy_verdict")
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT user_id, event_type, n, event_id, true AS ok, t + 86400000000 AS expiry FROM o WHERE n = 1
+ UNION ALL SELECT o.user_id, o.event_type, o.n, o.event_id, s.expiry <= o.t, CASE WHEN s.expiry <= o.t THEN o.t + 86400000000 ELSE s.expiry END FROM s JOIN o ON o.user_id = s.user_id AND o.event_type = s.event_type AND o.n = s.n + 1)
+SELECT event_id AS payment_id, ok AS replay_ok FROM s""")
+def replay_decisions(spark, sf):
+    p = facade.payments(spark, sf).withColumn("replay_fingerprint", crypto.fingerprint(F.col("resource_url"), F.col("pay_to"), F.lit("1"), F.col("currency"), F.col("deadline_seconds"), KEY))
+    return admission.replay_decisions(p, 86_400).select("payment_id", "replay_ok")
+
+
+@query(f"WITH {PAY_SQL} SELECT payment_id, round(sum(amount_usd) OVER (PARTITION BY agent_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW), 4) AS rolling_usd FROM p")
+def rolling_spend(spark, sf):
+    return admission.rolling_spend(facade.payments(spark, sf)).select("payment_id", F.round("rolling_usd", 4).alias("rolling_usd"))
+
+
+@query("""
+WITH p AS (SELECT event_id, value, event_id % 4 AS k FROM events),
+g AS (SELECT event_id, value, k, (k >= 1)::INT + (k >= 2)::INT AS n FROM p)
+SELECT event_id AS payment_id, CASE WHEN value < 20 THEN 0 ELSE n END::BIGINT AS approvals_received, CASE WHEN value < 20 THEN 'exempt' WHEN n >= 2 THEN 'approved' ELSE 'denied' END AS mpa_verdict FROM g""")
+def quorum_decisions(spark, sf):
+    p = facade.payments(spark, sf)
+    body = crypto.canonical_approval(F.col("resource_url"), F.col("amount_usd"), F.col("network"), F.col("agent_id"), ascii_only=False)
+    k = F.col("payment_id") % 4
+    secret = b"a shared secret of alice"
+    good = F.upper(crypto.hmac_sha256(body, secret))
+    rows = F.array(
+        F.struct(F.lit("alice").alias("approver_id"), F.when(k >= 1, good).otherwise("00").alias("signature"), F.lit(None).cast("boolean").alias("approved")),
+        F.struct(F.lit("alice").alias("approver_id"), F.when(k >= 1, good).otherwise("00").alias("signature"), F.lit(None).cast("boolean").alias("approved")),
+        F.struct(F.lit("bob").alias("approver_id"), F.lit(None).cast("string").alias("signature"), (k >= 2).alias("approved")),
+        F.struct(F.lit("mallory").alias("approver_id"), F.lit(None).cast("string").alias("signature"), F.lit(True).alias("approved")),
+    )
+    approvals = p.select("payment_id", F.inline(rows))
+    approvers = spark.createDataFrame([("alice", "crypto", bytearray(secret)), ("bob", "webhook", None)], "approver_id string, mode string, shared_secret binary")
+    return admission.quorum(p, approvals, approvers, 2, 20.0).select("payment_id", "approvals_received", "mpa_verdict")
+
+
+@query()
+def decision_pipeline(spark, sf):
+    p = facade.payments(spark, sf)
+    trusted = spark.createDataFrame([("https://error.example.com", "0x1"), ("https://error.example.com", "0x2")], "origin string, wallet string")
+    approvals = p.where("payment_id % 3 <> 0").select("payment_id", F.lit("bob").alias("approver_id"), F.lit(None).cast("string").alias("signature"), F.lit(True).alias("approved"))
+    approvers = spark.createDataFrame([("bob", "webhook", None)], "approver_id string, mode string, shared_secret binary")
+    out = pipeline.decide(p, POLICY, trusted, KEY, approvals, approvers, threshold=1, min_amount_usd=50.0, ttl_seconds=86_400)
+    return out.select("payment_id", "agent_id", "verdict", "policy_verdict", "replay_ok", "mpa_verdict")
+
+
+# ---------------------------------------------------------------- audit
+
+
+@query(f"""WITH {AUDIT_SQL} SELECT agent_id, count(*) FILTER (event_type = 'PAYMENT_ALLOWED') AS allowed, count(*) FILTER (event_type = 'PII_REDACTED') AS pii_redacted, count(*) FILTER (event_type = 'PII_BLOCKED') AS pii_blocked,
+ count(*) FILTER (event_type = 'POLICY_BLOCKED') AS policy_blocked, count(*) FILTER (event_type = 'REPLAY_BLOCKED') AS replay_blocked, count(*) FILTER (event_type = 'PAYMENT_ERROR') AS errors,
+ round(coalesce(sum(amount_usd) FILTER (event_type = 'PAYMENT_ALLOWED'), 0), 4) AS total_usd FROM a GROUP BY 1""")
+def agent_summaries(spark, sf):
+    return audit.agent_summaries(facade.audit(spark, sf)).withColumn("total_usd", F.round("total_usd", 4))
+
+
+@query(f"WITH {AUDIT_SQL} SELECT u.entity_type, count(*) AS n FROM a, unnest(a.pii) AS u(entity_type) GROUP BY 1")
+def entity_counts(spark, sf):
+    return audit.entity_counts(facade.audit(spark, sf))
+
+
+@query(f"WITH {AUDIT_SQL} SELECT count(*) AS events, count(*) FILTER (outcome = 'blocked') AS blocked, count(*) FILTER (outcome = 'allowed') AS allowed, round(sum(amount_usd) FILTER (event_type = 'PAYMENT_ALLOWED'), 4) AS total_spend_usd FROM a")
+def totals(spark, sf):
+    return audit.totals(facade.audit(spark, sf)).withColumn("total_spend_usd", F.round("total_spend_usd", 4))
+
+
+@query(f"WITH {AUDIT_SQL} SELECT seq, event_type, outcome FROM a WHERE agent_id = '7'")
+def entries_for_agent(spark, sf):
+    return audit.entries_for_agent(facade.audit(spark, sf), "7").select("seq", "event_type", "outcome")
+
+
+def _logged(spark, sf):
+    e = facade.audit(spark, sf)
+    return audit.chain(e.select("agent_id", "seq", F.to_json(F.struct("event_type", "agent_id")).alias("body")), KEY)
+
+
+CHAIN_SQL = f"""
+WITH RECURSIVE {AUDIT_SQL}, o AS (SELECT agent_id, seq, event_type, row_number() OVER (PARTITION BY agent_id ORDER BY seq) AS n FROM a),
+s AS (SELECT agent_id, seq, n, NULL::VARCHAR AS prev_entry_hmac, '{{"event_type": "' || event_type || '", "agent_id": "' || agent_id || '", "prev_entry_hmac": null}}' AS raw FROM o WHERE n = 1
+ UNION ALL SELECT agent_id, seq, n, h, '{{"event_type": "' || event_type || '", "agent_id": "' || agent_id || '", "prev_entry_hmac": "' || h || '"}}' FROM (SELECT o.*, {hmac_sql('s.raw')} AS h FROM s JOIN o ON o.agent_id = s.agent_id AND o.n = s.n + 1))
+"""
+
+
+@query(CHAIN_SQL + "SELECT agent_id, seq, prev_entry_hmac FROM s")
+def audit_chain(spark, sf):
+    return _logged(spark, sf).select("agent_id", "seq", "prev_entry_hmac")
+
+
+@query(f"WITH {AUDIT_SQL}, n AS (SELECT seq, agent_id, lag(seq % 10 = 0) OVER (PARTITION BY agent_id ORDER BY seq) AS hit FROM a) SELECT agent_id, seq, NOT coalesce(hit, false) AS chain_ok FROM n")
+def audit_chain_check(spark, sf):
+    lines = _logged(spark, sf).withColumn("raw", F.when(F.col("seq") % 10 == 0, F.replace("raw", F.lit("agent_id"), F.lit("agent_iD"))).otherwise(F.col("raw")))
+    return audit.check_chain(lines, KEY).select("agent_id", "seq", "chain_ok")
+
+
+@query(f"""WITH {AUDIT_SQL}, c AS (SELECT 'payments_total' AS metric, outcome AS label_a, CASE event_type WHEN 'POLICY_BLOCKED' THEN 'policy' WHEN 'REPLAY_BLOCKED' THEN 'replay' ELSE '' END AS label_b FROM a
+ UNION ALL SELECT 'policy_violations_total', 'limit_exceeded', '' FROM a WHERE event_type = 'POLICY_BLOCKED' UNION ALL SELECT 'replay_detections_total', '', '' FROM a WHERE event_type = 'REPLAY_BLOCKED'
+ UNION ALL SELECT 'pii_detections_total', u.x, 'redact' FROM a, unnest(a.pii) AS u(x)) SELECT metric, label_a, label_b, count(*) AS n FROM c GROUP BY 1, 2, 3""")
+def metrics_counters(spark, sf):
+    t = F.col("event_type")
+    return audit.counters(facade.audit(spark, sf), F.when(t == "POLICY_BLOCKED", "policy").when(t == "REPLAY_BLOCKED", "replay").otherwise(""))
+
+
+@query("WITH b AS (SELECT unnest([0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0, 10.0, 50.0]::DOUBLE[]) AS e) SELECT e::VARCHAR AS le, (SELECT count(*) FROM events WHERE value <= e) AS n FROM b UNION ALL SELECT '+Inf', count(value) FROM events")
+def amount_histogram(spark, sf):
+    return audit.histogram(facade.table(spark, sf, "events"), "value")
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+@query(
+    "WITH s AS (SELECT l.toxic = 1 AS t, regexp_matches(text, '@|[0-9]{3}') AS p FROM documents JOIN labels l USING (doc_id)), c AS (SELECT count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn FROM s), "
+    "r AS (SELECT *, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall FROM c) SELECT tn, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 9) AS f1 FROM r"
+)
+def detector_confusion(spark, sf):
+    d = facade.table(spark, sf, "documents").join(facade.table(spark, sf, "labels"), "doc_id")
+    out = evaluation.sample_report(d, F.col("toxic") == 1, F.col("text").rlike("@|[0-9]{3}"))
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+
+
+@query()
+def entity_confusion(spark, sf):
+    c = corpus.generate(spark)
+    found = lambda name, col: F.transform(detect(F.col(col)), lambda e: F.struct(F.lit(name).alias("field"), e["entity_type"].alias("entity_type"), e["start"].alias("start"), e["end"].alias("end")))
+    return evaluation.entity_report(c.withColumn("predictions", F.concat(found("url", "resource_url"), found("description", "description"), found("reason", "reason"))))
+
+
+@query("SELECT quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max FROM events")
+def latency_percentiles(spark, sf):
+    return evaluation.percentiles(facade.table(spark, sf, "events"), "value").withColumn("mean", F.round("mean", 6))
+
+
+@query()
+def corpus_meta(spark, sf):
+    return evaluation.corpus_meta(corpus.generate(spark))
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) AS origin, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS base FROM pages")
+def origin_extract(spark, sf):
+    return facade.table(spark, sf, "pages").select("page_id", urls.origin(F.col("url")).alias("origin"), urls.base(F.col("url")).alias("base"))
+
+
+@query(f"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{RE2["IP_ADDRESS"]}')) AS ip FROM documents), n AS (SELECT doc_id, ip, string_split(ip, '.')[1]::BIGINT AS a, string_split(ip, '.')[2]::BIGINT AS b FROM m)
+SELECT doc_id, ip, a IN (127, 10, 0) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) AS blocked FROM n""")
+def cidr_check(spark, sf):
+    d = facade.table(spark, sf, "documents").where(F.col("text").rlike("[0-9]"))
+    return d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(PATTERNS["IP_ADDRESS"]), F.lit(0))).alias("ip")).select("doc_id", "ip", urls.ipv4_blocked(F.col("ip")).alias("blocked"))
+
+
+@query("""SELECT event_id, CASE WHEN length(props) > 5 THEN substr(props, 1, 5) || '...[truncated]' ELSE props END AS message, CASE WHEN event_id % 2 = 0 THEN greatest(0, event_id - 50) END::INT AS retry_after,
+ 'user ' || user_id || ' paid' AS filled, len('user ' || user_id) AS filled_end, round(value, 2) = round(value, 2) AS rounded FROM events""")
+def misc_scalars(spark, sf):
+    filled = scalars.inject(F.lit("user {SLOT} paid"), F.col("user_id").cast("string"))
+    return facade.table(spark, sf, "events").select(
+        "event_id", scalars.safe_message(F.col("props"), 5).alias("message"), scalars.retry_after(F.when(F.col("event_id") % 2 == 0, (F.col("event_id") - 50).cast("string")).otherwise("soon")).alias("retry_after"),
+        filled["text"].alias("filled"), filled["end"].cast("long").alias("filled_end"), (scalars.round_even(F.col("value"), 2) == scalars.round_even(F.col("value"), 2)).alias("rounded"),
+    )
+
+
+@query()
+def seeded_sample(spark, sf):
+    return evaluation.seeded_sample(facade.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", 50)
