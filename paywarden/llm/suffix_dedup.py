@@ -354,7 +354,7 @@ def repeated_marks(rows: DataFrame, text: str = "text", width: int = 200, most:
         met.groupBy("h").agg(F.count("*").alias("n"), F.min("r").alias("r0"), F.max("r").alias("r1")).where("n > 1")
         .select("h", (F.col("r0") == F.col("r1")).alias("alike"))
     )
-    shared = store(met.join(shards, "h"), "shared")
+    shared = store(met.join(store(shards, "shards"), "h"), "shared")  # a stored side lets adaptive execution split hot anchors
     whole = F.col("lo") + F.col("len")
     marks = [shared.where("alike").select("rid", "lo", whole.alias("hi"))]
     mixed = shared.where("not alike")
