@@ -158,10 +158,10 @@ def components(edges: DataFrame) -> DataFrame:
             )
         state = tuple(seen)
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        least = store(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")  # stored, so a hot x can be split
         big = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         big = store(big, "edges")
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
+        low = store(big.groupBy("u").agg(F.min("v").alias("m")), "least")
         e = store(
             big.join(low, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -143,6 +143,7 @@ def near_links(fps: DataFrame, budget: int = 4, chunk: int = 4096) -> DataFrame:
     bits = lambda lo, hi: F.shiftrightunsigned("fp", 64 - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
     keyed = fps.select("fp", F.explode(F.array(*[F.lit(i << 13) + bits(*x) for i, x in enumerate(BLOCKS)])).alias("block"))
     hot = keyed.groupBy("block").count().where(F.col("count") > chunk).select("block", F.ceil(F.col("count") / chunk).cast("int").alias("n"))
+    hot = store(hot, "hot")  # joins with a stored side can be split where a key is hot
     own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1))
     dealt = (
@@ -174,8 +175,8 @@ def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wo
     roots = components(near_links(least.select("fp"), budget))
     rooted = least.join(roots, least.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = store(rooted, "rooted")
-    classes = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = rooted.join(classes, "root").select("fp", "root", "component_id")
+    classes = store(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "classes")
+    of = store(rooted.join(classes, "root").select("fp", "root", "component_id"), "of")
     return rows.join(of, "fp", "left").select(id_col, *keep, "fp", "root", "component_id")
 
 
@@ -187,8 +188,8 @@ def hex_of(fp: str = "fp"):
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, budget: int = 4) -> DataFrame:
     """Rows of docs, one of each near-duplicate class: that with the smallest id (then the first stored; null ids last)."""
     rows = with_row_id(docs, "__rid")
-    classes = near_classes(rows, text, id_col, words, budget, keep=("__rid",))
+    classes = store(near_classes(rows, text, id_col, words, budget, keep=("__rid",)), "rows")
     rank = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col("__rid").alias("rid"))
     best = classes.groupBy("root").agg(F.min(rank).alias("best")).select("root", F.col("best.rid").alias("kept"))
-    gone = store(classes.join(best, "root").where("__rid <> kept").select("__rid"), "gone")
+    gone = store(classes.join(store(best, "best"), "root").where("__rid <> kept").select("__rid"), "gone")
     return rows.join(gone, "__rid", "left_anti").select(*docs.columns)

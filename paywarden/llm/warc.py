@@ -86,6 +86,7 @@ def plan(pages: DataFrame, least: int = 1000) -> DataFrame:
         pages.select("page_id", body.alias("html")).select("page_id", F.sha1("html").alias("digest"), F.length("html").alias("size"))
         .where(F.col("size") >= least).groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("target")).where("n > 1").drop("n")
     )
+    copies = store(copies, "copies")  # stored, so the join can be split at a hot payload
     other = ~F.col("page_id").eqNullSafe(F.col("target"))
     return rows.join(copies, ["digest", "size"], "left").select("page_id", "url", "html", "digest", F.when(other, F.col("target")).alias("target"))
 
