@@ -32,7 +32,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(_table(spark, sf_dir, "documents"), found="found")
-    counts = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(k) for k in pii.PATTERNS]
     return out.select("doc_id", "text", *counts)
 
 
