@@ -387,7 +387,7 @@ def repeated_marks(rows: DataFrame, text: str = "text", width: int = 200, most:
 
 
 def cut_repeats(docs: DataFrame, text: str = "text", width: int = 200, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of each row, n_bytes, n_removed, n_spans, and `kept` (binary): what is left of the text."""
+    """The columns `keep` of each row, n_bytes, n_removed, n_spans, `kept` (binary): what is left of the text, and `kept_text`: its whole characters."""
     rows = with_row_id(docs.select(*keep, text))
     marks = repeated_marks(rows.select("rid", text), text, width)
     by_row = marks.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))  # as many as the text has windows at most
@@ -415,12 +415,12 @@ def cut_repeats(docs: DataFrame, text: str = "text", width: int = 200, keep: tup
                     out.append((len(body), int(gone.sum()), spans, body[~gone].tobytes()))
                 n_bytes, removed, spans, left = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [*[b.column(n) for n in names], pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(left, pa.binary())],
-                    [*names, "n_bytes", "n_removed", "n_spans", "kept"],
+                    [*[b.column(n) for n in names], pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(left, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in left], pa.string())],
+                    [*names, "n_bytes", "n_removed", "n_spans", "kept", "kept_text"],
                 )
 
-    out = src.mapInArrow(run, f"{schema}n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_bytes", "n_removed", "n_spans", "kept")
+    out = src.mapInArrow(run, f"{schema}n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_bytes", "n_removed", "n_spans", "kept", "kept_text")
 
 
 def sha256_hex(data: bytes) -> str:
