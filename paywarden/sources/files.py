@@ -20,7 +20,7 @@ def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
     Blank lines are skipped but counted; a line that is no JSON object fails the query and says its number. Line
     numbers need a file read as one value, so logs are files of moderate size, each a task's.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("log"), F.posexplode(F.split("value", "\r?\n")).alias("seq", "raw"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("log"), F.posexplode(F.split("value", "\r?\n")).alias("seq", "raw"))
     lines = lines.withColumn("seq", F.col("seq") + 1).where(F.trim("raw") != "")
     broken = F.raise_error(F.concat(F.lit("Invalid JSON on line "), F.col("seq").cast("string")))
     valid = F.try_parse_json("raw").isNotNull() & F.trim("raw").startswith("{")
