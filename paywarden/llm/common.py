@@ -172,6 +172,18 @@ def components(edges: DataFrame) -> DataFrame:
         )
 
 
+_held: dict = {}
+
+
+def per_worker(key: object, make: Callable[[], object]):
+    """What make() gives, made once per Python worker and key, as workers run many tasks; few of them are held at a time."""
+    if key not in _held:
+        if len(_held) >= 4:
+            _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 class WordTable:
     """Arrays of numbers that belong to words, made in bulk when a word is first met.
 
@@ -215,6 +227,12 @@ class WordTable:
         ends = np.cumsum(sizes)
         return self.flat[np.repeat(self.start[numbers] - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
 
+    def rows(self, numbers: np.ndarray, k: int) -> np.ndarray:
+        """The words' numbers as rows, where each word has k of them."""
+        if self.flat is None:
+            return np.zeros((len(numbers), k))
+        return self.flat[: len(self.flat) // k * k].reshape(-1, k)[numbers]
+
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     if n <= len(a):

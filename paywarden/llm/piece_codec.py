@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteTable, WordTable, group_edges, slices
+from .common import ByteTable, WordTable, group_edges, per_worker, slices
 from .tables import KeyTable
 
 SPACE = "▁"
@@ -212,6 +212,12 @@ def words_of(text: str) -> list[str]:
     return text.split(" ")
 
 
+def _tables(path: str) -> tuple[WordTable, ByteTable, ByteTable]:
+    """Ids by word; decimal digits and text by id."""
+    model = PieceModel(path)
+    return WordTable(model.encode_words), ByteTable([b"%d," % i for i in range(model.n)]), ByteTable(model.bodies)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
     """The columns `keep`, n_tokens, ids (array, if with_ids), ids_sha256 of the comma-joined ids, and decoded text with its SHA-256."""
     names = [f"k{i}" for i in range(len(keep))]
@@ -220,10 +226,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     schema += ", ids array<int>, decoded string" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(path)
-        table = WordTable(model.encode_words)
-        digits = ByteTable([b"%d," % i for i in range(model.n)])
-        bodies = ByteTable(model.bodies)
+        table, digits, bodies = per_worker(("pieces", path), lambda: _tables(path))
         for whole in batches:
             for b in slices(whole, "t", 1 << 20):
                 lists = [words_of(x) if x is not None else [] for x in b.column("t").to_pylist()]
