@@ -20,6 +20,7 @@ over its segmentations; empty tables give empty results.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, slices, store
+from .common import WordTable, per_worker, slices, store
 from .tables import KeyTable
 
 SPACE, PART, UNKNOWN, SMOOTH = "▁", 40, 1e-6, 0.1
@@ -145,7 +146,7 @@ def fit(docs: DataFrame, path: str, train: Column, text: str = "text", lang: str
         held = spark.sparkContext.broadcast(prob)  # vocabulary x languages
 
         def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            forward, total = Forward(pieces), np.zeros_like(held.value)
+            forward, total = per_worker(("forward", path), lambda: Forward(pieces)), np.zeros_like(held.value)
             for b in batches:
                 g, c = b.column("g").to_numpy(), b.column("count").to_numpy()
                 parts, row, seen = [], [], {}
@@ -175,11 +176,11 @@ def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray], tex
     names = [f"k{i}" for i in range(len(keep))]
     src = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).alias("t"))
     schema = "".join(f"{n} {src.schema[n].dataType.simpleString()}, " for n in names) + "lang_pred string, score double"
-    held = docs.sparkSession.sparkContext.broadcast(prob)
+    held, fitted = docs.sparkSession.sparkContext.broadcast(prob), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, p = vocabulary(path), held.value
-        forward, k = Forward(pieces), p.shape[1]
+        p = held.value
+        forward, k = per_worker(("forward", path), lambda: Forward(vocabulary(path))), p.shape[1]
 
         def make(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             parts = [parts_of(w) for w in words]
@@ -188,7 +189,7 @@ def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray], tex
             edges = np.cumsum([0, *map(len, parts)])
             return np.add.reduceat(sums, edges[:-1]).ravel(), np.full(len(words), k)
 
-        table = WordTable(make)
+        table = per_worker(("words", fitted), lambda: WordTable(make))
         names_of = np.array([*langs, "und"], object)
         for whole in batches:
             for b in slices(whole, "t", 1 << 20):
@@ -197,7 +198,7 @@ def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray], tex
                 if langs:
                     lists = [x.split() if x is not None and any(map(str.isalpha, x)) else [] for x in texts]
                     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-                    logs = table.gather(table.numbers([w for x in lists for w in x]))[0].reshape(-1, k)
+                    logs = table.rows(table.numbers([w for x in lists for w in x]), k)
                     full = np.flatnonzero(sizes)
                     if len(full):
                         sums = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(sizes[full])[:-1]]))
