@@ -140,23 +140,28 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parent
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether edges (u, v) with u > v are disjoint stars: each u has one v and is no other's v."""
+    ends = e.select(F.explode(F.array(*[F.struct(F.col(c).alias("x"), F.lit(up).alias("up")) for c, up in (("u", 1), ("v", 0))])).alias("end"))
+    nodes = ends.select("end.*").groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return not nodes.agg(F.count_if(F.expr("ups > 1 or (ups = 1 and least = 0)"))).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(u, v): rows (node, root) for each node that has a link, root the smallest node.
 
     Alternating large-star and small-star rounds; each is a min by key with map-side combining and an equi-join that
-    adaptive execution may split when a star is very large. Each round ends in a stored table.
+    adaptive execution may split when a star is very large. Each round ends in a stored table, and the rounds end as
+    soon as the edges are disjoint stars.
     """
     e = store(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    state = None
     while True:
-        seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state or not seen[0]:
+        if _stars(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        state = tuple(seen)
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = store(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")  # stored, so a hot x can be split
         big = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
