@@ -347,6 +347,19 @@ def _sorted_marks(pieces: DataFrame, width: int, weight: int = 1 << 20) -> DataF
     return pieces.select("key", "rid", "lo", "len", "c", "content").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "rid long, lo int, hi int")
 
 
+def _repeated(rows: DataFrame, counts: DataFrame, on: list[str], n: str) -> DataFrame:
+    """Rows whose key `on` has a count over one in `counts`, which has each key once.
+
+    Keys with over a thousandth of all that is counted are fewer than a thousand, so they are broadcast and their
+    rows stay out of the shuffle; the others meet by an equi-join in which no key has more than that thousandth.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * 1000 > total
+    several = counts.where(F.col(n) > 1)
+    large, rest = F.broadcast(several.where(hot).select(*on)), several.where(~hot).select(*on)
+    return rows.join(large, on, "left_semi").unionByName(rows.join(large, on, "left_anti").join(rest, on, "left_semi"))
+
+
 def repeated_marks(rows: DataFrame, text: str = "text", width: int = 200, most: int = 4000) -> DataFrame:
     """(rid, lo, hi): windows lo..hi of row rid start a string of `width` bytes that starts elsewhere too."""
     met = store(occurrences(rows, text, width), "regions")
@@ -360,8 +373,7 @@ def repeated_marks(rows: DataFrame, text: str = "text", width: int = 200, most:
     mixed = shared.where("not alike")
     distinct = mixed.groupBy("h", "r").agg(F.count("*").alias("c"), F.min(F.struct("rid", "lo", "len", "po")).alias("at"))
     distinct = store(distinct.select(F.col("h").alias("key"), "r", "c", "at.*"), "distinct")
-    twice = distinct.where("c > 1").select(F.col("key").alias("h"), "r")
-    marks.append(mixed.join(twice, ["h", "r"], "left_semi").select("rid", "lo", whole.alias("hi")))
+    marks.append(_repeated(mixed, distinct.select(F.col("key").alias("h"), "r", "c"), ["h", "r"], "c").select("rid", "lo", whole.alias("hi")))
     bodies = rows.select("rid", F.col(text).cast("binary").alias("body"))
     pieces = distinct.join(bodies, "rid").select("key", "r", "c", "rid", "lo", "len", "po", F.substring("body", F.col("lo") + 1, F.col("len") + width).alias("content"))
     pieces = store(pieces.withColumns({"oa": F.lit(0), "ob": F.lit(width - GRAM)}), "pieces")
@@ -377,8 +389,7 @@ def repeated_marks(rows: DataFrame, text: str = "text", width: int = 200, most:
         cut = store(_halves(hot, width), "halves")
         alike = cut.groupBy("key", "r").agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.min(F.struct("rid", "lo", "len", "po", "content", "oa", "ob")).alias("at"))
         alike = store(alike.select("key", "r", "c", "n", "at.*"), "alike")
-        several = alike.where("n > 1").select("key", "r")
-        marks.append(cut.join(several, ["key", "r"], "left_semi").where("c = 1").select("rid", "lo", whole.alias("hi")))
+        marks.append(_repeated(cut.where("c = 1"), alike, ["key", "r"], "n").select("rid", "lo", whole.alias("hi")))
         pieces = alike.where("oa < ob").drop("n")
     out = marks[0]
     for m in marks[1:]:
