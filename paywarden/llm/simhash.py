@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import components, find_roots, group_edges, slices, store, unite, whole_groups, with_row_id
 
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
@@ -185,10 +186,14 @@ def hex_of(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, budget: int = 4) -> DataFrame:
-    """Rows of docs, one of each near-duplicate class: that with the smallest id (then the first stored; null ids last)."""
+def drop_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows of docs, one of each near-duplicate class: that with the smallest id (then the first stored; null ids last).
+
+    Classes are joined by links of Jaccard similarity >= `similarity` of whole shingle sets. No budget of 64 bits
+    reaches that without linking strangers, so candidates come from MinHash bands (see minhash), not fingerprints.
+    """
     rows = with_row_id(docs, "__rid")
-    classes = store(near_classes(rows, text, id_col, words, budget, keep=("__rid",)), "rows")
+    classes = store(minhash.near_classes(rows, "__rid", text, (id_col,), words, similarity), "rows")
     rank = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col("__rid").alias("rid"))
     best = classes.groupBy("root").agg(F.min(rank).alias("best")).select("root", F.col("best.rid").alias("kept"))
     gone = store(classes.join(store(best, "best"), "root").where("__rid <> kept").select("__rid"), "gone")

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from paywarden.llm import language_id, media, packing, pii, piece_codec, simhash, suffix_dedup, url_filter, vector_dedup, warc
+from paywarden.llm import language_id, media, minhash, packing, pii, piece_codec, simhash, suffix_dedup, url_filter, vector_dedup, warc
 from paywarden.llm.queries import BYTES, PIECES
 
 SF = "/root/testdata/sf0.001"
@@ -214,3 +214,35 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, SF).toPandas()
     assert (rows.groupby("sequence_id").length.sum().iloc[:-1] == 2048).all() and rows.doc_id.nunique() > 150
+
+
+def test_near_duplicates_reach_their_similarity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    root = {i: i for i in sets}
+    ids, far = sorted(sets), 0
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and (both := len(x & y)) and 5 * both >= 4 * (len(x) + len(y) - both):
+                far += x != y
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if v == old else v for i, v in root.items()}
+    assert far >= 5
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [i for i in ids if root[i] == i]
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 2000])
+def test_near_sets_in_chunks(spark, chunk):
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(999)}" for _ in range(120)] for _ in range(3)]
+    rows = []
+    for i in range(60):
+        w = list(base[i % 3])
+        w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    got = minhash.near_classes(spark.createDataFrame(rows, "rid long, text string"), "rid", chunk=chunk).collect()
+    assert len({(r.rid % 3, r.root) for r in got}) == 3 == len({r.root for r in got})
