@@ -1,18 +1,24 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 Vectors are compared only within a label (and a dimension). Equal vectors are folded first. Groups above `most`
-vectors are split around pivots taken from their own rows, a vector near a border going to both sides, until each
-shard fits a task. In a shard: clusters around medoids overlap (each vector is in its two nearest), each cluster gives
-its members a candidate list, robust pruning keeps diverse neighbours, the lists of both clusters are united into one
-flat graph, and a greedy search from the nearest medoid finds each vector's place, from where a range search expands
-over all neighbours above a slack. Found pairs are verified by cosine in double precision. A sample of each shard is
-audited against brute force; while recall is under `recall`, the slack widens, and at last blocks of all pairs of
-the shard are compared.
+vectors are split around pivots taken from their own rows until each shard fits a task. A vector is at home in the
+cell of its nearest pivot and a guest in each earlier cell where a vector that it may link with can be at home: for
+unit vectors within distance d, a pivot p is nearest to one of them only if the other's product with any pivot q
+exceeds that with p by at most d * |q - p|. So every link has one shard that holds it, as a pair of homes or of a home
+and a guest. A group that this does not shrink (near copies, or scattered vectors of many dimensions: children of over
+half its rows, or of over twice its rows together) is cut in chunks instead, and each pair of chunks is compared whole.
 
-A pair found in several shards counts in the first of those that hold both. Shards return a row per vector: the
-number of its links and a root, never pairs.
+In a shard, homes are searched by a graph: clusters around medoids overlap (each vector is in its two nearest), each
+cluster gives its members a candidate list, robust pruning keeps diverse neighbours, the lists of both clusters are
+united into one flat graph, and a greedy search from the nearest medoid finds each vector's place, from where a range
+search expands over all neighbours above a slack. Found pairs are verified by cosine in double precision. A sample of
+each shard is audited against brute force; while recall is under `recall`, the slack widens, and at last blocks of all
+pairs of the shard are compared. Homes and guests are always compared in blocks of all pairs. So the audit covers all
+that is not exact, and no link depends on two shards finding it.
 
-Pivots: at most `fan` of each oversized shard, a bounded sample; all rows are indexed.
+Shards return a row per vector: the number of its links and a root, never pairs.
+
+Pivots: at most 2 * `fan` of each oversized shard, a bounded sample; all rows are indexed.
 
 Defined cases: null labels, and vectors that are null, empty, zero or have null or non-finite parts, link with
 nothing: n_links 0, component_id their own id; copies of a linked vector count one by one; a null id joins its class
@@ -151,15 +157,12 @@ def shard_pairs(x: np.ndarray, least: float, recall: float = 0.98, audit: int =
         if len(a) >= recall * truth.sum():
             break
         slack = slack - 0.3 if slack > 0 else -2
+    if slack <= -1:  # the graph fails its audit
+        yield from block_pairs(x, None, least)
+        return
     found = [np.zeros(0, np.int64)]
     for i in range(0, m, block):
-        rows = np.arange(i, min(i + block, m))
-        if slack > -1:
-            a, b = search(rows)
-        else:  # the graph fails its audit: all pairs of the block
-            a, b = np.nonzero(x[rows] @ x.T >= least)
-            a = rows[a]
-            a, b = a[a != b], b[a != b]
+        a, b = search(np.arange(i, min(i + block, m)))
         found.append(np.minimum(a, b) * np.int64(m) + np.maximum(a, b))
     pairs = np.unique(np.concatenate(found))
     for i in range(0, len(pairs), 1 << 20):
@@ -167,6 +170,15 @@ def shard_pairs(x: np.ndarray, least: float, recall: float = 0.98, audit: int =
         yield part // m, part % m
 
 
+def block_pairs(x: np.ndarray, y: np.ndarray | None, least: float, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs (of x, of y) of unit vectors with cosine >= least, in blocks; without y, pairs i < j of x."""
+    for i in range(0, len(x), block):
+        a, b = np.nonzero(x[i : i + block] @ (x[i:] if y is None else y).T >= least)
+        if y is None:
+            a, b = a[a < b], b[a < b] + i
+        yield a + i, b
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1)
@@ -175,46 +187,78 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _split(rows: DataFrame, most: int, fan: int) -> DataFrame:
-    """rows(rid, cell, x) with every cell of more than `most` rows split around pivots, borders to both sides."""
-    spark = rows.sparkSession
-    done, n_level = None, 0
+#: What a row is in its shard: at home and searched by the graph; guest, compared with the homes; at home and compared
+#: with guests only; at home and compared with all.
+HOME, GUEST, CROSS, WHOLE = range(4)
+
+
+def children(x: np.ndarray, pivots: np.ndarray, home: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pivot, side) of where each unit vector goes: home to its nearest pivot, guest wherever a link may be at home."""
+    sim = x @ pivots.T
+    reach = np.sqrt(2 - 2 * least) * np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0)) + 1e-7
+    may = np.ones(sim.shape, bool)
+    for q in range(len(pivots)):
+        may &= sim[:, q : q + 1] - sim <= reach[q]
+    own = sim.argmax(axis=1)
+    may &= ~home[:, None] | (np.arange(len(pivots)) < own[:, None])  # two homes meet in the earlier cell
+    row, no = np.nonzero(may)
+    at = np.flatnonzero(home)
+    return np.concatenate([at, row]), np.concatenate([own[at], no]), np.repeat([HOME, GUEST], [len(at), len(row)])
+
+
+def _split(rows: DataFrame, least: float, most: int, fan: int) -> DataFrame:
+    """rows(rid, cell, side, w, x), all at home, with every cell of more than `most` rows split so that each pair that may link meets once."""
+    done, n_level, schema = None, 0, rows.schema
+    kind = schema["x"].dataType.simpleString()
     while True:
-        sizes = rows.groupBy("cell").count()
+        sizes = rows.groupBy("cell").agg(F.count("*").alias("count"), F.count_if(F.col("side") == HOME).alias("homes"), F.max(F.size("x")).alias("dim"))
         large = store(sizes.where(F.col("count") > most), "large")
         if large.isEmpty():
             return rows if done is None else done.unionByName(rows)
         small = rows.join(large, "cell", "left_anti")
         done = small if done is None else done.unionByName(small)
-        chance = F.abs(F.xxhash64("rid", F.lit(n_level)) % 1_000_000) < F.col("count").__rtruediv__(1_000_000 * fan)
-        pivots = rows.join(large, "cell").where(chance).groupBy("cell").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("rid").alias("h"), F.col("x")))), 1, 2 * fan).alias("p"))
-        dealt = rows.join(pivots.select("cell", F.col("p.x").alias("p")), "cell")
+        chance = F.abs(F.xxhash64("rid", F.lit(n_level)) % 1_000_000) < F.col("homes").__rtruediv__(1_000_000 * fan)
+        pivots = rows.join(large, "cell").where(chance & (F.col("side") == HOME)).groupBy("cell").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("rid").alias("h"), F.col("x")))), 1, 2 * fan).alias("p"))
+        pivots = store(pivots.select("cell", F.col("p.x").alias("p")), "pivots")
 
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def choose(batches: Iterator[pa.RecordBatch], count: bool) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for i in range(0, whole.num_rows, 2000):
                     b = whole.slice(i, 2000)
-                    x, cells, p = _vectors(b.column("x")), b.column("cell").to_numpy(), b.column("p")
-                    rid, child = [], []
+                    cells, p = b.column("cell").to_numpy(), b.column("p")
+                    home, out = b.column("side").to_numpy() == HOME, []
                     for cell in np.unique(cells):
                         at = np.flatnonzero(cells == cell)
-                        sim = x[at] @ _vectors(p[int(at[0])].values).T
-                        order = np.argsort(-sim, axis=1, kind="stable")
-                        dist = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(sim, order[:, :2], axis=1), 0))
-                        rid.append(at)
-                        child.append(order[:, 0])
-                        if dist.shape[1] > 1:
-                            both = dist[:, 1] - dist[:, 0] <= 0.4
-                            rid.append(at[both])
-                            child.append(order[both, 1])
-                    at, no = np.concatenate(rid), np.concatenate(child)
-                    yield pa.RecordBatch.from_arrays([b.column("rid").take(pa.array(at)), pa.array(cells[at]), pa.array(no), b.column("x").take(pa.array(at))], ["rid", "cell", "no", "x"])
-
-        cut = dealt.mapInArrow(choose, f"rid long, cell long, no long, x {rows.schema['x'].dataType.simpleString()}")
-        rows = store(cut.select("rid", F.xxhash64("cell", "no", F.lit(n_level)).alias("cell"), "x").distinct(), "cells")
+                        row, no, side = children(_vectors(b.column("x").take(pa.array(at))), _vectors(p[int(at[0])].values), home[at], least)
+                        out.append((at[row], no, side))
+                    at, no, side = (np.concatenate(c) for c in zip(*out))
+                    if count:
+                        pair, n = np.unique(np.stack([cells[at], no]), axis=1, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(n)], ["cell", "no", "n"])
+                    else:
+                        took = [b.column(c).take(pa.array(at)) for c in ("rid", "cell", "w", "x")]
+                        yield pa.RecordBatch.from_arrays([*took, pa.array(no), pa.array(side, pa.int32())], ["rid", "cell", "w", "x", "no", "side"])
+
+        dealt = rows.join(pivots, "cell").select("rid", "cell", "side", "w", "x", "p")
+        counts = dealt.mapInArrow(lambda b: choose(b, True), "cell long, no long, n long").groupBy("cell", "no").agg(F.sum("n").alias("n"))
+        counts = counts.groupBy("cell").agg(F.max("n").alias("top"), F.sum("n").alias("total"))
+        pays = store(counts.join(large, "cell").where("2 * top <= count and total <= 2 * count").select("cell"), "pays")
+        done = done.unionByName(_blocks(rows, large.join(pays, "cell", "left_anti"), most, n_level))
+        cut = dealt.join(pays, "cell").mapInArrow(lambda b: choose(b, False), f"rid long, cell long, w long, x {kind}, no long, side int")
+        rows = store(cut.select("rid", F.xxhash64("cell", "no", F.lit(n_level)).alias("cell"), "side", "w", "x"), "cells")
         n_level += 1
-        if n_level > 12:  # vectors that no pivot tells apart
-            return done.unionByName(rows)
+
+
+def _blocks(rows: DataFrame, cells: DataFrame, most: int, n_level: int) -> DataFrame:
+    """The rows of `cells` as a cell for each pair of chunks that holds homes; chunks are bounded by rows and by numbers."""
+    chunk = F.greatest(F.lit(2), F.least(F.lit(4 * most), F.floor(F.lit(1 << 22) / F.col("dim"))))
+    parts = cells.select("cell", F.ceil(F.col("homes") / chunk).cast("int").alias("k"), F.ceil((F.col("count") - F.col("homes")) / chunk).cast("int").alias("m"))
+    home, h = F.col("side") == HOME, F.xxhash64("rid", F.lit(-1))
+    own = F.when(home, F.pmod(h, F.col("k"))).otherwise(F.col("k") + F.pmod(h, F.greatest("m", F.lit(1)))).cast("int")
+    out = rows.join(store(parts.where("k > 0"), "parts"), "cell").withColumn("own", own)
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(home, F.col("k") + F.col("m")).otherwise(F.col("k")) - 1)))
+    side = F.when(F.col("own") == F.col("other"), WHOLE).when(F.col("own") < F.col("other"), CROSS).otherwise(GUEST)
+    return out.select("rid", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"), F.lit(f"b{n_level}")).alias("cell"), side.cast("int").alias("side"), "w", "x")
 
 
 def near_vectors(table: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", most: int = 6000, fan: int = 16) -> DataFrame:
@@ -227,33 +271,34 @@ def near_vectors(table: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     rows = store(rows.withColumn("grp", F.when(F.col("x").isNotNull(), F.xxhash64("label", F.size("x")))).withColumn("hx", F.xxhash64("x")), "vectors")
     classes = rows.where("x is not null").groupBy("grp", "label", "x").agg(F.count("*").alias("w"), F.min("id").alias("first_id"))
     classes = store(classes.withColumn("rid", F.monotonically_increasing_id()).withColumn("hx", F.xxhash64("x")), "classes")
-    cells = _split(classes.select("rid", F.col("grp").alias("cell"), "x"), most, fan)
-    cells = store(cells, "shards")
-    homes = cells.groupBy("rid").agg(F.sort_array(F.collect_list("cell")).alias("homes"))
-    full = cells.join(homes, "rid").join(classes.select("rid", "w"), "rid")
+    homes = classes.select("rid", F.col("grp").alias("cell"), F.lit(HOME).alias("side"), "w", "x")
+    cells = _split(homes, least, most, fan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "cell", 4000):
             cell, x = t.column("cell").to_numpy(), t.column("x").combine_chunks()
-            rid, w, home = t.column("rid").to_numpy(), t.column("w").to_numpy(), t.column("homes").to_pylist()
+            rid, w, side = (t.column(c).to_numpy() for c in ("rid", "w", "side"))
             edges = group_edges(cell)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 n = b - a
-                links, parent = np.zeros(n, np.int64), np.arange(n)
-                several = np.array([len(h) > 1 for h in home[a:b]])
-                for i, j in shard_pairs(_vectors(x.slice(a, n)), least):
-                    shared = np.flatnonzero(several[i] & several[j])
-                    own = np.ones(len(i), bool)
-                    for k in shared.tolist():
-                        own[k] = min(set(home[a + i[k]]) & set(home[a + j[k]])) == cell[a]
-                    np.add.at(links, i[own], w[a:b][j[own]])
-                    np.add.at(links, j[own], w[a:b][i[own]])
-                    parent = unite(parent, i, j)
+                at, guest = np.flatnonzero(side[a:b] != GUEST), np.flatnonzero(side[a:b] == GUEST)
+                if not len(at):
+                    continue
+                links, parent, weight = np.zeros(n, np.int64), np.arange(n), w[a:b]
+                v = _vectors(x.slice(a, n))
+                how = side[a + at[0]]
+                inside = shard_pairs(v[at], least) if how == HOME else block_pairs(v[at], None, least) if how == WHOLE else ()
+                across = block_pairs(v[at], v[guest], least) if len(guest) else ()
+                for pairs, other in ((inside, at), (across, guest)):
+                    for i, j in pairs:
+                        i, j = at[i], other[j]
+                        links += np.bincount(i, weight[j], n).astype(np.int64) + np.bincount(j, weight[i], n).astype(np.int64)
+                        parent = unite(parent, i, j)
                 met = np.flatnonzero((links > 0) | (find_roots(parent) != np.arange(n)))
                 yield pa.RecordBatch.from_arrays([pa.array(rid[a:b][met]), pa.array(rid[a:b][parent[met]]), pa.array(links[met])], ["u", "v", "links"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = store(full.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long, links long"), "links")
+    found = store(cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long, links long"), "links")
     links = found.groupBy(F.col("u").alias("rid")).agg(F.sum("links").alias("links"))
     roots = components(found.select("u", "v"))
     rooted = classes.join(roots, classes.rid == roots.node, "left").select("rid", "grp", "hx", "label", "x", "w", "first_id", F.coalesce("root", "rid").alias("root"))

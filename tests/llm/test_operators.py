@@ -246,3 +246,28 @@ def test_near_sets_in_chunks(spark, chunk):
         rows.append((i, " ".join(w)))
     got = minhash.near_classes(spark.createDataFrame(rows, "rid long, text string"), "rid", chunk=chunk).collect()
     assert len({(r.rid % 3, r.root) for r in got}) == 3 == len({r.root for r in got})
+
+
+@pytest.mark.parametrize("groups", [1, 30])
+def test_vectors_of_large_groups(spark, groups):
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((groups, 24))
+    x = (np.repeat(base, 420 // groups, axis=0) + rng.choice([0.04, 0.14], (420 // groups * groups, 1)) * rng.standard_normal((420 // groups * groups, 24))).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_vectors(df, most=40, fan=8).collect()}
+    assert [got[i] for i in range(len(x))] == links.tolist() and links.sum() > 1000
+
+
+def test_children_hold_each_link_once():
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.standard_normal((80, 8)), 5, axis=0) + 0.07 * rng.standard_normal((400, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    home = np.arange(len(x)) % 7 > 0
+    row, no, side = vector_dedup.children(x, x[rng.choice(len(x), 12, replace=False)], home, 0.98)
+    cells = [(set(row[(no == p) & (side == vector_dedup.HOME)]), set(row[(no == p) & (side == vector_dedup.GUEST)])) for p in range(12)]
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
+    for a, b in zip(i.tolist(), j.tolist()):
+        met = sum((a in h and (b in h or b in g)) or (b in h and a in g) for h, g in cells)
+        assert met == (home[a] or home[b])
