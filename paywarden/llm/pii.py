@@ -7,7 +7,8 @@ addition modulo the half's size), and written back in the same format. So equal
 documents, different ones different pseudonyms, and separators stay. Mail addresses become keyed ones; secrets
 become keyed marks that no longer work as a secret.
 
-Dates are permuted among the 73,170 days from 1900-01-01; cards keep length, first digit and a right check digit;
+Phone numbers have any three digits as area code and exchange, and US social security numbers hyphens, spaces or
+nothing between their parts, as in functions.detect. Dates are permuted among the 73,170 days from 1900-01-01; cards keep length, first digit and a right check digit;
 IBANs keep country, letters and length and get right check digits.
 
 Defined cases: null text stays null; empty text stays empty; candidates that fail validation stay as they are;
@@ -27,9 +28,9 @@ PATTERNS = {
     "secret": r"""\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api[_\-]?key)\b["']?\s*[=:]\s*["']?(?=[A-Za-z_\-/+.]*[0-9])[A-Za-z0-9_\-/+.]{8,}["']?)""",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
-    "ssn": r"\b(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}\b",
+    "ssn": r"\b(?!000|666|9)[0-9]{3}[-\s]?(?!00)[0-9]{2}[-\s]?(?!0000)[0-9]{4}\b",
     "date": r"\b(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])\b|\b(?:0?[1-9]|[12][0-9]|3[01])[./](?:0?[1-9]|1[0-2])[./](?:19|20)[0-9]{2}\b",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+?1[ .\-]?)?\(?[2-9][0-9]{2}\)?[ .\-][2-9][0-9]{2}[ .\-][0-9]{4}\b",
+    "phone": r"(?<![A-Za-z0-9_])(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s][0-9]{3}[-.\s][0-9]{4}\b",
     "card": r"\b[0-9](?:[ \-]?[0-9]){12,18}\b",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -114,17 +115,13 @@ def _ssn(m: Column, key: Column) -> Column:
     a = _floor_div(head, F.lit(99)) + 1
     a = a + (a >= 666).cast("long")
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
-    return F.concat(pad(a, 3), F.lit("-"), pad(head % 99 + 1, 2), F.lit("-"), pad(new % 9999 + 1, 4))
+    return _refill(m, F.concat(pad(a, 3), pad(head % 99 + 1, 2), pad(new % 9999 + 1, 4)))
 
 
 def _phone(m: Column, key: Column) -> Column:
     d = _digits(m)
-    own = F.right(d, F.lit(10))
-    area, exchange, line = (F.substring(own, a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
-    new = feistel(((area - 200) * 800 + exchange - 200) * 10000 + line, F.lit(800), F.lit(8_000_000), "phone", key)
-    head = _floor_div(new, F.lit(10000))
-    digits = F.concat((_floor_div(head, F.lit(800)) + 200).cast("string"), (head % 800 + 200).cast("string"), F.lpad((new % 10000).cast("string"), 4, "0"))
-    return _refill(m, F.concat(F.when(F.length(d) == 11, F.lit("1")).otherwise(F.lit("")), digits))
+    new = feistel(F.right(d, F.lit(10)).cast("long"), F.lit(100_000), F.lit(100_000), "phone", key)
+    return _refill(m, F.concat(F.when(F.length(d) == 11, F.lit("1")).otherwise(F.lit("")), F.lpad(new.cast("string"), 10, "0")))
 
 
 def _date(m: Column, key: Column) -> Column:

@@ -271,3 +271,13 @@ def test_children_hold_each_link_once():
     for a, b in zip(i.tolist(), j.tolist()):
         met = sum((a in h and (b in h or b in g)) or (b in h and a in g) for h, g in cells)
         assert met == (home[a] or home[b])
+
+
+def test_pii_phones_and_ssns_of_the_reference(spark):
+    rows = ["call +1 (017) 555-7713 now", "call 132 555 1352", "ssn=123456789 query", "ssn 123 45 6789", "ssn 123-45-6789", "no 000-12-3456", "no 000123456"]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+    got = {r.id: r for r in pii.pseudonymise(df, found="found").collect()}
+    assert [[h.kind for h in got[i].found] for i in range(7)] == [["phone"], ["phone"], ["ssn"], ["ssn"], ["ssn"], [], []]
+    shape = lambda x: "".join("0" if c.isdigit() else c for c in x)
+    assert all(shape(got[i].text) == shape(rows[i]) for i in range(7)) and got[0].text.startswith("call +1 (")
+    assert len({"".join(c for c in got[i].found[0].pseudonym if c.isdigit()) for i in (2, 3, 4)}) == 1
