@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
 One pattern finds candidates; each is validated by its own rule (Luhn for cards, mod 97 for IBANs, octets, area
-rules, calendar dates). A validated number or date is mapped to its index in the set of valid values of its format,
+rules, calendar dates). A run of numbers or an IBAN's candidate that fails as a whole is searched for the valid values
+within it (at words' ends only: part of an unbroken number is no value). A validated number or date is mapped to its index in the set of valid values of its format,
 permuted there by a keyed Feistel network (halves of the index, SHA-256 of key, kind, round and the other half,
 addition modulo the half's size), and written back in the same format. So equal values get equal pseudonyms in all
 documents, different ones different pseudonyms, and separators stay. Mail addresses become keyed ones; secrets
@@ -33,7 +34,22 @@ PATTERNS = {
     "phone": r"(?<![A-Za-z0-9_])(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s][0-9]{3}[-.\s][0-9]{4}\b",
     "card": r"\b[0-9](?:[ \-]?[0-9]){12,18}\b",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC SV", 32: "LC",
+}
+#: Candidates end where no mail address, dotted number or date with slashes begins.
+END = r"\b(?![./][0-9]|[A-Za-z0-9._%+\-]*@)"
+_FIXED = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}{END}" for n, c in IBAN_LENGTHS.items())
+#: What is cut out of the text: for cards a whole run of numbers, for IBANs also the numbers after it, so that no
+#: candidate ends within a number that is valid by itself; `_inner` finds what such a run holds.
+RUNS = {
+    "iban": rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?:{_FIXED}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{END})(?:[ \-](?:[0-9][0-9 \-]*)?[0-9]{END})?",
+    "card": rf"\b(?=[0-9](?:[ \-]?[0-9]){{12}})[0-9][0-9 \-]*[0-9]{END}",
+}
+ANY = "|".join(f"(?:{RUNS.get(k, p)})" for k, p in PATTERNS.items())
 #: What a text needs to hold a candidate at all; cheap to look for.
 GATE = r"[0-9@]"
 ROUNDS, DAYS_A, DAYS_B = 8, 270, 271
@@ -187,6 +203,36 @@ def pseudonym(m: Column, kind: Column, key: Column) -> Column:
     return out
 
 
+def _inner(m: Column, key: Column) -> Column:
+    """m cut in (kind, value, pseudonym): the valid values in it from left to right, each from a word's start, and what is between (no kind).
+
+    At a start the kinds are tried in their order: an IBAN by its country's length, then by the pattern; a card from 19
+    digits down to 13.
+    """
+    words = F.regexp_extract_all(m, F.lit("[A-Z0-9]+[^A-Z0-9]*"), F.lit(0))
+    rests = F.regexp_extract_all(m, F.lit(r"(?<![A-Z0-9])(?=([A-Z0-9].{0,63}))[A-Z0-9]+"), F.lit(1))  # what each word begins
+
+    def options(rest: Column) -> Column:
+        one = lambda kind, pattern: F.struct(F.lit(kind).alias("kind"), F.regexp_extract(rest, f"^(?:{pattern})", 0).alias("value"))
+        cards = [one("card", rf"[0-9](?:[ \-]?[0-9]){{{n - 1}}}{END}") for n in range(19, 12, -1)]
+        return F.filter(F.array(one("iban", _FIXED), one("iban", PATTERNS["iban"]), *[one(k, PATTERNS[k]) for k in ("ssn", "date", "phone")], *cards), lambda o: o["value"] != "")
+
+    def found(rest: Column, i: Column) -> Column:
+        made = F.transform(options(rest), lambda o: F.struct(o["kind"].alias("kind"), o["value"].alias("value"), pseudonym(o["value"], o["kind"], key).alias("pseudonym")))
+        return F.struct(i.alias("i"), F.get(F.filter(made, lambda h: h["value"] != h["pseudonym"]), F.lit(0)).alias("hit"))
+
+    hits = F.filter(F.transform(rests, found), lambda x: x["hit"].isNotNull())
+    hits = F.transform(hits, lambda x: F.struct((F.length(F.array_join(F.slice(words, F.lit(1), x["i"]), "")) + 1).alias("at"), x["hit"].alias("hit")))
+    plain = lambda t: F.struct(F.lit(None).cast("string").alias("kind"), t.alias("value"), t.alias("pseudonym"))
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>").alias("parts"))
+
+    def step(acc: Column, x: Column) -> Column:
+        parts = F.concat(acc["parts"], F.array(plain(F.substring(m, acc["at"], x["at"] - acc["at"])), x["hit"]))
+        return F.when(x["at"] < acc["at"], acc).otherwise(F.struct((x["at"] + F.length(x["hit"]["value"])).alias("at"), parts.alias("parts")))
+
+    return F.aggregate(hits, begin, step, lambda acc: F.concat(acc["parts"], F.array(plain(F.substring(m, acc["at"], F.length(m))))))
+
+
 def key_of(docs: DataFrame, key: str | None) -> str:
     return key if key is not None else docs.sparkSession.conf.get("spark.paywarden.pii.key", "development key, not for production")
 
@@ -198,11 +244,14 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, fo
     candidates = F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
     kinded = F.transform(candidates, lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind")))
     hits = F.transform(kinded, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], k).alias("pseudonym")))
+    fails = lambda h: (h["value"] == h["pseudonym"]) & F.coalesce(h["kind"].isin("iban", "card"), F.lit(True))
+    hits = F.transform(hits, lambda h: F.when(fails(h), _inner(h["value"], k)).otherwise(F.array(h)))
     name = found or "__found"
     out = docs.withColumn(name, F.when(t.rlike(GATE), F.when(t.rlike(ANY), hits)))
     gaps = F.split(t, ANY, -1)
-    spliced = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(name)), F.col(name), lambda g, h: F.concat(g, h["pseudonym"])), ""), F.element_at(gaps, -1))
+    spliced = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(name)), F.col(name), lambda g, h: F.concat(g, F.array_join(h["pseudonym"], ""))), ""), F.element_at(gaps, -1))
     out = out.withColumn(text, F.when(F.col(name).isNull(), t).otherwise(spliced))
     if not found:
         return out.select(*docs.columns)
-    return out.withColumn(found, F.filter(F.coalesce(F.col(found), F.array().cast(out.schema[found].dataType)), lambda x: x["value"] != x["pseudonym"]))
+    flat = F.flatten(F.coalesce(F.col(found), F.array().cast(out.schema[found].dataType)))
+    return out.withColumn(found, F.filter(flat, lambda x: x["value"] != x["pseudonym"]))

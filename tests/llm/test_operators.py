@@ -281,3 +281,24 @@ def test_pii_phones_and_ssns_of_the_reference(spark):
     shape = lambda x: "".join("0" if c.isdigit() else c for c in x)
     assert all(shape(got[i].text) == shape(rows[i]) for i in range(7)) and got[0].text.startswith("call +1 (")
     assert len({"".join(c for c in got[i].found[0].pseudonym if c.isdigit()) for i in (2, 3, 4)}) == 1
+
+
+def test_pii_in_longer_runs(spark):
+    card, iban = "4041894974608795", "ES91 2100 0418 4502 0005 1332"
+    rows = {
+        f"card {card} 123": ["card"], "card 4041 8949 7460 8795 12/27": ["card"], f"id 7 {card}": ["card"], f"IBAN {iban} EUR": ["iban"],
+        f"123 4 {card} x": ["card"], f"{card} {card}": ["card", "card"], f"IBAN {iban} {card}, ok": ["iban", "card"],
+        f"AB12 1111 2222 3333 4445 {card}": ["card"], f"12 34 56 {card} 123-45-6789 2020-02-29 988 555-2485": ["card", "ssn", "date", "phone"],
+        f"{card} 10.1.2.3": ["card", "ip"], f"{card} 7@x.com": ["card", "email"], f"{card}7, 4041894974608796 12": [], "1 2 " * 2000: [],
+    }
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+    got = {r.id: r for r in pii.pseudonymise(df, found="found").collect()}
+    for i, (text, kinds) in enumerate(rows.items()):
+        if text.startswith("1 2 "):
+            continue
+        assert [h.kind for h in got[i].found] == kinds, text
+        back = got[i].text
+        for h in got[i].found:
+            back = back.replace(h.pseudonym, h.value)
+        assert back == text
+    assert len({h.pseudonym.replace(" ", "") for i in range(7) for h in got[i].found if h.kind == "card"}) == 1
