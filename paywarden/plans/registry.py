@@ -122,6 +122,12 @@ def pii_subset_sweep(spark, sf):
     return evaluation.sweep(facade.table(spark, sf, "documents"), subsets=evaluation.SUBSETS[:-1])
 
 
+@query()
+def pii_full_sweep(spark, sf):
+    """All subsets, with that of all types, where overlaps between types are resolved; SQL counts single types only."""
+    return evaluation.sweep(facade.table(spark, sf, "documents"))
+
+
 @query()
 def json_scan(spark, sf):
     e = facade.table(spark, sf, "events")

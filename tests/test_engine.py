@@ -94,3 +94,12 @@ def test_policy_files(tmp_path):
     assert [p for p, _ in files.validate_policy(bad)] == ["max_per_call_usd", "mpa/approvers", "window_seconds", "x"]
     (tmp_path / "p.toml").write_text("daily_limit_usd = 2.5\n")
     assert files.load_policy(str(tmp_path / "p.toml")).daily_limit_usd == 2.5
+
+
+def test_full_sweep_has_all_types(spark):
+    from paywarden.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.config: (r.texts_with_any, r.entities) for r in QUERIES["pii_full_sweep"](spark, sf).collect()}
+    kinds = [redact_text(r.text)[1] for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").collect()]
+    assert len(got) == 7 and got["all"] == (sum(map(bool, kinds)), sum(map(len, kinds))) and got["all"][1] > 0
