@@ -302,3 +302,11 @@ def test_pii_in_longer_runs(spark):
             back = back.replace(h.pseudonym, h.value)
         assert back == text
     assert len({h.pseudonym.replace(" ", "") for i in range(7) for h in got[i].found if h.kind == "card"}) == 1
+
+
+def test_language_stage_without_labels(spark, odd):
+    import corpus_pipeline
+
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.language(spark, bare, SF)
+    assert got.columns == odd.columns and sorted(r.doc_id or 0 for r in got.collect()) == [0, 1, 6, 7, 9]
