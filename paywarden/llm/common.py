@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -21,11 +22,14 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (tests on one machine) is a local folder made.
+    Only where the setting is absent and the master is local (tests on one machine) is a local folder made; a cluster
+    without the setting is an error, as its executors would not see each other's files.
     """
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="paywarden-")
             atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
@@ -49,22 +53,42 @@ def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read again."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so (names are compared without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_row_id(df: DataFrame, name: str = "rid", most_files: int = 20_000) -> DataFrame:
     """Add a long that identifies each row: file number and row number in that file.
 
     It comes from the files alone, so each scan gives a row the same id however the scan is split. A frame that is
-    not a plain scan of files is stored first. The broadcast side has a row per input file, which the driver lists
-    for the scan in any case.
+    not a plain scan of files is stored first. The broadcast side has a row per input file and is used up to
+    `most_files`; tables of more files are stored with their row ids instead. `name` must be free in df.
     """
     try:
         df.select("_metadata.row_index")
+        plain = len(df.inputFiles()) <= most_files
     except AnalysisException:
-        df = store(df, "rows")
+        plain = False
+    if not plain:
+        return store(df.withColumn(name, F.monotonically_increasing_id()), "rows")
     spark = df.sparkSession
+    file, row, no = (free_name(df, c) for c in ("file", "row", "no"))
     files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())  # a row per input file
-    numbers = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "__file string, __no long")
-    out = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return out.join(F.broadcast(numbers), "__file").withColumn(name, F.shiftleft("__no", 40) + F.col("__row")).drop("__file", "__row", "__no")
+    numbers = spark.createDataFrame([(f, i) for i, f in enumerate(files)], f"{file} string, {no} long")
+    out = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    return out.join(F.broadcast(numbers), file).withColumn(name, F.shiftleft(no, 40) + F.col(row)).drop(file, row, no)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
@@ -151,8 +175,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(u, v): rows (node, root) for each node that has a link, root the smallest node.
 
     Alternating large-star and small-star rounds; each is a min by key with map-side combining and an equi-join that
-    adaptive execution may split when a star is very large. Each round ends in a stored table, and the rounds end as
-    soon as the edges are disjoint stars.
+    adaptive execution may split when a star is very large. Each round ends in a stored table, after which the round's
+    other tables are removed, and the rounds end as soon as the edges are disjoint stars.
     """
     e = store(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
@@ -167,6 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
         big = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         big = store(big, "edges")
         low = store(big.groupBy("u").agg(F.min("v").alias("m")), "least")
+        before = (e, least, big, low)
         e = store(
             big.join(low, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -175,6 +200,7 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct(),
             "edges",
         )
+        discard(*before)
 
 
 _held: dict = {}
@@ -189,15 +215,27 @@ def per_worker(key: object, make: Callable[[], object]):
     return _held[key]
 
 
+def let_go() -> None:
+    """Free what per_worker holds for operators before this one, and give freed memory back to the system.
+
+    Workers outlive stages; without this a stage that needs much memory would find the tables of earlier ones there.
+    """
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class WordTable:
     """Arrays of numbers that belong to words, made in bulk when a word is first met.
 
-    make(words) returns (all numbers one after another, how many each word has). The first `most` words stay; what
-    comes beyond them lives until the next call, so memory is bounded for any number of distinct words.
+    make(words) returns (all numbers one after another, how many each has). Words of at most `longest` characters stay
+    until there are `most` of them; what comes beyond lives until the next call, so memory is bounded for any number of
+    distinct words of any length.
     """
 
-    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 200_000):
-        self.make, self.most = make, most
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 200_000, longest: int = 64):
+        self.make, self.most, self.longest = make, most, longest
         self.index: dict[str, int] = {}
         self.flat: np.ndarray | None = None
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
@@ -209,6 +247,7 @@ class WordTable:
         out = list(map(self.index.get, words))
         if None in out:
             new = list(dict.fromkeys([w for w, v in zip(words, out) if v is None]))
+            new.sort(key=lambda w: len(w) > self.longest)  # those that may stay come first
             flat, sizes = self.make(new)
             if self.flat is None:
                 self.flat = np.zeros(1 << 14, flat.dtype)
@@ -219,8 +258,9 @@ class WordTable:
             self.start[n : n + len(new)] = used + np.cumsum(sizes) - sizes
             at = dict(zip(new, range(n, n + len(new))))
             if len(self.index) < self.most:
-                self.index.update(at)
-                self.kept = (n + len(new), used + len(flat))
+                short = sum(len(w) <= self.longest for w in new)
+                self.index.update(zip(new[:short], range(n, n + short)))
+                self.kept = (n + short, used + int(sizes[:short].sum()))
             out = [at[w] if v is None else v for w, v in zip(words, out)]
         return np.array(out, np.int64)
 
