@@ -12,7 +12,8 @@ In a shard, homes are searched by a graph: clusters around medoids overlap (each
 cluster gives its members a candidate list, robust pruning keeps diverse neighbours, the lists of both clusters are
 united into one flat graph, and a greedy search from the nearest medoid finds each vector's place, from where a range
 search expands over all neighbours above a slack. Found pairs are verified by cosine in double precision. A sample of
-each shard is audited against brute force; while recall is under `recall`, the slack widens, and at last blocks of all
+each shard (rows at fixed places, and rows whose nearest neighbour in the graph is linked) is audited against brute force;
+while recall is under `recall`, the slack widens, and at last, or where the sample has no link to audit by, blocks of all
 pairs of the shard are compared. Homes and guests are always compared in blocks of all pairs. So the audit covers all
 that is not exact, and no link depends on two shards finding it.
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, find_roots, group_edges, store, unite, whole_groups
+from .common import components, find_roots, group_edges, let_go, store, unite, whole_groups
 
 DEGREE, CANDIDATES, ALPHA = 24, 48, 1.2
 
@@ -139,10 +140,13 @@ def shard_pairs(x: np.ndarray, least: float, recall: float = 0.98, audit: int =
         return
     x32 = x.astype(np.float32)
     graph, medoids = flat_graph(x32)
-    probe = np.unique(np.linspace(0, m - 1, min(audit, m)).astype(int))
+    spread = lambda rows: rows[np.linspace(0, len(rows) - 1, min(audit, len(rows))).astype(int)]
+    first = np.where(graph[:, 0] >= 0, graph[:, 0], np.arange(m))
+    linked = np.flatnonzero((first != np.arange(m)) & (np.einsum("ij,ij->i", x32, x32[first]) >= least))
+    probe = np.unique(np.concatenate([spread(np.arange(m)), spread(linked)]) if len(linked) else spread(np.arange(m)))
     truth = x[probe] @ x.T >= least
     truth[np.arange(len(probe)), probe] = False
-    slack = least - 0.08
+    slack = least - 0.08 if truth.any() else -2  # without a link there is nothing to audit by
 
     def search(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         q = x32[rows]
@@ -157,7 +161,7 @@ def shard_pairs(x: np.ndarray, least: float, recall: float = 0.98, audit: int =
         if len(a) >= recall * truth.sum():
             break
         slack = slack - 0.3 if slack > 0 else -2
-    if slack <= -1:  # the graph fails its audit
+    if slack <= -1:  # the graph fails its audit, or has none
         yield from block_pairs(x, None, least)
         return
     found = [np.zeros(0, np.int64)]
@@ -172,11 +176,18 @@ def shard_pairs(x: np.ndarray, least: float, recall: float = 0.98, audit: int =
 
 def block_pairs(x: np.ndarray, y: np.ndarray | None, least: float, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All index pairs (of x, of y) of unit vectors with cosine >= least, in blocks; without y, pairs i < j of x."""
+    other = x if y is None else y
+    x32, y32 = x.astype(np.float32), other.astype(np.float32)
     for i in range(0, len(x), block):
-        a, b = np.nonzero(x[i : i + block] @ (x[i:] if y is None else y).T >= least)
+        from_ = i if y is None else 0
+        a, b = np.nonzero(x32[i : i + block] @ y32[from_:].T >= least - 1e-4)
+        a, b = a + i, b + from_
         if y is None:
-            a, b = a[a < b], b[a < b] + i
-        yield a + i, b
+            a, b = a[a < b], b[a < b]
+        for k in range(0, len(a), 1 << 17):
+            u, v = a[k : k + (1 << 17)], b[k : k + (1 << 17)]
+            fine = np.einsum("ij,ij->i", x[u], other[v]) >= least
+            yield u[fine], v[fine]
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -207,45 +218,53 @@ def children(x: np.ndarray, pivots: np.ndarray, home: np.ndarray, least: float)
 
 
 def _split(rows: DataFrame, least: float, most: int, fan: int) -> DataFrame:
-    """rows(rid, cell, side, w, x), all at home, with every cell of more than `most` rows split so that each pair that may link meets once."""
-    done, n_level, schema = None, 0, rows.schema
-    kind = schema["x"].dataType.simpleString()
+    """rows(rid, cell, side, w, x), all at home, with every cell of more than `most` rows split so that each pair that may link meets once.
+
+    A cell's rows are dealt in parts of about `most`, and each part gets the cell's pivots once, before its rows.
+    """
+    done, n_level = None, 0
     while True:
         sizes = rows.groupBy("cell").agg(F.count("*").alias("count"), F.count_if(F.col("side") == HOME).alias("homes"), F.max(F.size("x")).alias("dim"))
-        large = store(sizes.where(F.col("count") > most), "large")
+        large = store(sizes.where(F.col("count") > most).withColumn("salts", F.ceil(F.col("count") / most).cast("int")), "large")
         if large.isEmpty():
             return rows if done is None else done.unionByName(rows)
         small = rows.join(large, "cell", "left_anti")
         done = small if done is None else done.unionByName(small)
         chance = F.abs(F.xxhash64("rid", F.lit(n_level)) % 1_000_000) < F.col("homes").__rtruediv__(1_000_000 * fan)
-        pivots = rows.join(large, "cell").where(chance & (F.col("side") == HOME)).groupBy("cell").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("rid").alias("h"), F.col("x")))), 1, 2 * fan).alias("p"))
-        pivots = store(pivots.select("cell", F.col("p.x").alias("p")), "pivots")
+        pivots = rows.join(large, "cell").where(chance & (F.col("side") == HOME)).groupBy("cell", "salts").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("rid").alias("h"), F.col("x")))), 1, 2 * fan).alias("p"))
+        pivots = store(pivots.select("cell", "salts", F.explode("p.x").alias("x")), "pivots")
+        pivots = pivots.select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(-1).alias("side"), F.lit(0).cast("long").alias("rid"), "x")
+        salted = rows.join(large, "cell").select("cell", F.pmod(F.xxhash64("rid", F.lit("salt")), F.col("salts")).cast("int").alias("salt"), "side", "rid", "x")
 
-        def choose(batches: Iterator[pa.RecordBatch], count: bool) -> Iterator[pa.RecordBatch]:
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, own = None, []  # the cell and part at hand, and its pivots, which come before its rows
             for whole in batches:
                 for i in range(0, whole.num_rows, 2000):
                     b = whole.slice(i, 2000)
-                    cells, p = b.column("cell").to_numpy(), b.column("p")
-                    home, out = b.column("side").to_numpy() == HOME, []
-                    for cell in np.unique(cells):
-                        at = np.flatnonzero(cells == cell)
-                        row, no, side = children(_vectors(b.column("x").take(pa.array(at))), _vectors(p[int(at[0])].values), home[at], least)
-                        out.append((at[row], no, side))
-                    at, no, side = (np.concatenate(c) for c in zip(*out))
-                    if count:
-                        pair, n = np.unique(np.stack([cells[at], no]), axis=1, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(n)], ["cell", "no", "n"])
-                    else:
-                        took = [b.column(c).take(pa.array(at)) for c in ("rid", "cell", "w", "x")]
-                        yield pa.RecordBatch.from_arrays([*took, pa.array(no), pa.array(side, pa.int32())], ["rid", "cell", "w", "x", "no", "side"])
-
-        dealt = rows.join(pivots, "cell").select("rid", "cell", "side", "w", "x", "p")
-        counts = dealt.mapInArrow(lambda b: choose(b, True), "cell long, no long, n long").groupBy("cell", "no").agg(F.sum("n").alias("n"))
-        counts = counts.groupBy("cell").agg(F.max("n").alias("top"), F.sum("n").alias("total"))
+                    cells, salt, side, rid = (b.column(c).to_numpy() for c in ("cell", "salt", "side", "rid"))
+                    out = []
+                    edges = np.flatnonzero((cells[1:] != cells[:-1]) | (salt[1:] != salt[:-1])) + 1
+                    for at in np.split(np.arange(len(cells)), edges):
+                        key = (int(cells[at[0]]), int(salt[at[0]]))
+                        if key != held:
+                            held, own = key, []
+                        if (first := at[side[at] < 0]).size:
+                            own.append(_vectors(b.column("x").take(pa.array(first))))
+                        if (rest := at[side[at] >= 0]).size and own:
+                            row, no, to = children(_vectors(b.column("x").take(pa.array(rest))), np.concatenate(own), side[rest] == HOME, least)
+                            out.append((rest[row], no, to))
+                    if out:
+                        at, no, to = (np.concatenate(c) for c in zip(*out))
+                        yield pa.RecordBatch.from_arrays([pa.array(cells[at]), pa.array(rid[at]), pa.array(no, pa.int32()), pa.array(to, pa.int32())], ["cell", "rid", "no", "to"])
+
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = salted.unionByName(pivots).repartition(n, "cell", "salt").sortWithinPartitions("cell", "salt", "side")
+        to = store(dealt.mapInArrow(choose, "cell long, rid long, no int, to int"), "children")
+        counts = to.groupBy("cell", "no").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max("n").alias("top"), F.sum("n").alias("total"))
         pays = store(counts.join(large, "cell").where("2 * top <= count and total <= 2 * count").select("cell"), "pays")
         done = done.unionByName(_blocks(rows, large.join(pays, "cell", "left_anti"), most, n_level))
-        cut = dealt.join(pays, "cell").mapInArrow(lambda b: choose(b, False), f"rid long, cell long, w long, x {kind}, no long, side int")
-        rows = store(cut.select("rid", F.xxhash64("cell", "no", F.lit(n_level)).alias("cell"), "side", "w", "x"), "cells")
+        cut = rows.drop("side").join(to.join(pays, "cell"), ["cell", "rid"])
+        rows = store(cut.select("rid", F.xxhash64("cell", "no", F.lit(n_level)).alias("cell"), F.col("to").alias("side"), "w", "x"), "cells")
         n_level += 1
 
 
@@ -275,6 +294,7 @@ def near_vectors(table: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     cells = _split(homes, least, most, fan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for t in whole_groups(batches, "cell", 4000):
             cell, x = t.column("cell").to_numpy(), t.column("x").combine_chunks()
             rid, w, side = (t.column(c).to_numpy() for c in ("rid", "w", "side"))
@@ -302,8 +322,10 @@ def near_vectors(table: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     links = found.groupBy(F.col("u").alias("rid")).agg(F.sum("links").alias("links"))
     roots = components(found.select("u", "v"))
     rooted = classes.join(roots, classes.rid == roots.node, "left").select("rid", "grp", "hx", "label", "x", "w", "first_id", F.coalesce("root", "rid").alias("root"))
-    least_id = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = store(rooted, "rooted")  # stored sides, so that joins can be split at a giant component
+    least_id = store(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     of = rooted.join(least_id, "root").join(links, "rid", "left").select("grp", "hx", F.col("x").alias("cx"), F.col("label").alias("cl"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id")
+    of = store(of, "of")
     out = rows.join(of, (rows.grp == of.grp) & (rows.hx == of.hx) & (rows.x == of.cx) & (rows.label == of.cl), "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
