@@ -1,14 +1,15 @@
 """SimHash near-duplicates by a binary trie self-join.
 
 A fingerprint has a bit for each of 64 positions, set when over half of the shingle hashes have it. Distinct
-fingerprints (copies are folded first) are blocked five times, on each of five blocks of bits: two that differ in
-at most four bits agree in one block at least. Within a block group the fingerprints, sorted by their bits, are a
-binary trie whose nodes are ranges. Pairs of nodes are walked together level by level; each pair carries the bits
+fingerprints (copies are folded first) are dealt to tasks by bits that linked ones share: the 64 bits are cut in b
+blocks, and two that differ in at most four bits agree in b - 4 of them at least, so a shard for each choice of b - 4
+blocks and their bits holds every link. b grows with the number of distinct fingerprints (`layout`), so that shards
+stay small. Within a shard the fingerprints, sorted by their bits, are a binary trie whose nodes are ranges. Pairs of nodes are walked together level by level; each pair carries the bits
 in which its sides differ so far, and falls away when that passes the budget. Links are united as they are found,
 so a group returns a star per component and never its pairs.
 
-Hot groups: copies are folded by a map-side aggregate; a block group above `chunk` fingerprints is cut in chunks,
-and each pair of chunks is a group of its own, so a task holds at most two chunks. Nothing is dropped.
+Hot groups: copies are folded by a map-side aggregate; a shard above `chunk` fingerprints is cut in chunks, and each
+pair of chunks is a group of its own, so a task holds at most two chunks. Nothing is dropped.
 
 Defined cases: null or empty text (or only white space) has fingerprint zero, which is linked like any other; null
 doc_id rows keep their fingerprint and join a component whose id ignores nulls (null if no id is known); repeated
@@ -18,6 +19,7 @@ rows stay; an empty table gives an empty result; extra columns of the input are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import components, find_roots, group_edges, slices, store, unite, whole_groups, with_row_id
+from .common import components, find_roots, free_name, group_edges, let_go, slices, store, unite, whole_groups, with_row_id
 
-BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
+
+
+def layout(n: int, budget: int, chunk: int) -> list[list[tuple[int, int]]]:
+    """Bit ranges whose equality makes a shard, for each choice of blocks; the number of blocks that costs n fingerprints least copies."""
+
+    def choices(blocks: int) -> list[list[tuple[int, int]]]:
+        at = [64 * i // blocks for i in range(blocks + 1)]
+        return [[(at[i], at[i + 1]) for i in c] for c in combinations(range(blocks), blocks - budget)]
+
+    def copies(choice: list[list[tuple[int, int]]]) -> float:
+        bits = min(sum(hi - lo for lo, hi in ranges) for ranges in choice)
+        return len(choice) * max(1.0, n / (chunk * 2.0**bits))
+
+    return min((choices(budget + 1 + more) for more in range(4)), key=copies)
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
@@ -71,6 +86,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, keep: tupl
     schema = ", ".join(f"{n} {src.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for whole in batches:
             for b in slices(whole, "t"):
                 texts = b.column("t").cast(pa.binary()).to_pylist()
@@ -139,10 +155,11 @@ def _leaves(values, a0, a1, b0, b1, budget, most):
 
 def near_links(fps: DataFrame, budget: int = 4, chunk: int = 4096) -> DataFrame:
     """Edges (u, v) that span each component of `fps` (distinct longs, column fp) linked at <= budget differing bits."""
-    if budget + 1 > len(BLOCKS):
-        raise ValueError(f"a budget of at most {len(BLOCKS) - 1} bits")
+    if not 0 <= budget <= 8:
+        raise ValueError("a budget of 0 to 8 bits")
     bits = lambda lo, hi: F.shiftrightunsigned("fp", 64 - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-    keyed = fps.select("fp", F.explode(F.array(*[F.lit(i << 13) + bits(*x) for i, x in enumerate(BLOCKS)])).alias("block"))
+    keys = [F.xxhash64(F.lit(i), *[bits(*x) for x in ranges]) for i, ranges in enumerate(layout(fps.count(), budget, chunk))]
+    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("block"))
     hot = keyed.groupBy("block").count().where(F.col("count") > chunk).select("block", F.ceil(F.col("count") / chunk).cast("int").alias("n"))
     hot = store(hot, "hot")  # joins with a stored side can be split where a key is hot
     own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
@@ -192,9 +209,11 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc
     Classes are joined by links of Jaccard similarity >= `similarity` of whole shingle sets. No budget of 64 bits
     reaches that without linking strangers, so candidates come from MinHash bands (see minhash), not fingerprints.
     """
-    rows = with_row_id(docs, "__rid")
-    classes = store(minhash.near_classes(rows, "__rid", text, (id_col,), words, similarity), "rows")
-    rank = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col("__rid").alias("rid"))
-    best = classes.groupBy("root").agg(F.min(rank).alias("best")).select("root", F.col("best.rid").alias("kept"))
-    gone = store(classes.join(store(best, "best"), "root").where("__rid <> kept").select("__rid"), "gone")
-    return rows.join(gone, "__rid", "left_anti").select(*docs.columns)
+    rid = free_name(docs, "rid")
+    rows = with_row_id(docs, rid)
+    plain = rows.select(F.col(rid).alias("rid"), F.col(id_col).alias("id"), F.col(text).alias("t"))
+    classes = store(minhash.near_classes(plain, "rid", "t", ("id",), words, similarity), "rows")
+    rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("rid").alias("c"))
+    best = classes.groupBy("root").agg(F.min(rank).alias("best")).select("root", F.col("best.c").alias("kept"))
+    gone = store(classes.join(store(best, "best"), "root").where("rid <> kept").select(F.col("rid").alias(rid)), "gone")
+    return rows.join(gone, rid, "left_anti").select(*docs.columns)
