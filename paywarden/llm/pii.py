@@ -10,12 +10,13 @@ become keyed marks that no longer work as a secret.
 
 Phone numbers have any three digits as area code and exchange, and US social security numbers hyphens, spaces or
 nothing between their parts, as in functions.detect. Dates are permuted among the 73,170 days from 1900-01-01; cards keep length, first digit and a right check digit;
-IBANs keep country, letters and length and get right check digits.
+IBANs keep country, letters and length and get right check digits; at most their last 16 digits are permuted, so of
+an IBAN with more digits the first ones (of its bank code) stay readable.
 
 Defined cases: null text stays null; empty text stays empty; candidates that fail validation stay as they are;
 text without candidates is returned unchanged; repeated rows get the same result; other columns are kept as they
-are, whatever their names. The key comes from the caller or from spark.paywarden.pii.key; it is a literal in
-the plan, so restrict access to explain output where it matters.
+are, whatever their names (but one called as `found`, which is replaced). The key comes from the caller or from
+spark.paywarden.pii.key, and there is no default; it is a literal in the plan, so restrict access to explain output.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
@@ -234,7 +237,10 @@ def _inner(m: Column, key: Column) -> Column:
 
 
 def key_of(docs: DataFrame, key: str | None) -> str:
-    return key if key is not None else docs.sparkSession.conf.get("spark.paywarden.pii.key", "development key, not for production")
+    key = key or docs.sparkSession.conf.get("spark.paywarden.pii.key", None)
+    if not key:
+        raise ValueError("a secret key is needed: pass one or set spark.paywarden.pii.key")
+    return key
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, found: str | None = None) -> DataFrame:
@@ -246,7 +252,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, fo
     hits = F.transform(kinded, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], k).alias("pseudonym")))
     fails = lambda h: (h["value"] == h["pseudonym"]) & F.coalesce(h["kind"].isin("iban", "card"), F.lit(True))
     hits = F.transform(hits, lambda h: F.when(fails(h), _inner(h["value"], k)).otherwise(F.array(h)))
-    name = found or "__found"
+    name = found or free_name(docs, "found")
     out = docs.withColumn(name, F.when(t.rlike(GATE), F.when(t.rlike(ANY), hits)))
     gaps = F.split(t, ANY, -1)
     spliced = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(name)), F.col(name), lambda g, h: F.concat(g, F.array_join(h["pseudonym"], ""))), ""), F.element_at(gaps, -1))
