@@ -3,7 +3,8 @@
 All rules are packed, one after another, into one bit row of as many 64-bit words as it takes. A rule of m symbols
 has m + 1 states. Per byte, D = ((D << 1) & B[byte]) | (D & L[byte]): B holds the states that a byte may enter, L
 those it may stay in (the wildcards). All URLs of a batch move along together, longest first, so that those at
-their end drop off the tail. A rule fits if its last state is set at the end.
+their end drop off the tail; those whose states no byte can change leave early, and the last few go on as whole
+numbers. A rule fits if its last state is set at the end.
 
 Wildcards: `*` any run without `/`, `**` any run, `?` one byte but `/`. A rule (host, path) stands for the host and
 all its subdomains and any path that starts with the rule's: over ".host/path" it is `*.host` + path + `**`. The
@@ -85,20 +86,46 @@ class Automaton:
             at += len(states)
             self.last.append(at - 1)
 
+    def settled(self, state: np.ndarray) -> np.ndarray:
+        """Which rows of states no byte can change any more."""
+        ahead = state << np.uint64(1)
+        ahead[:, 1:] |= state[:, :-1] >> np.uint64(63)
+        moves = ahead & np.bitwise_or.reduce(self.enter, axis=0) & ~state
+        leaves = state & ~np.bitwise_and.reduce(self.stay, axis=0)
+        return ~(moves | leaves).any(axis=1)
+
+    def _alone(self, state: np.ndarray, text: bytes) -> np.ndarray:
+        number = lambda row: int.from_bytes(row.astype("<u8").tobytes(), "little")
+        enter, stay = [number(x) for x in self.enter], [number(x) for x in self.stay]
+        d = number(state)
+        for i in range(0, len(text), 256):
+            for c in text[i : i + 256]:
+                d = ((d << 1) & enter[c]) | (d & stay[c])
+            if self.settled(held := np.frombuffer(d.to_bytes(8 * self.words, "little"), np.uint64)[None])[0]:
+                return held[0]
+        return np.frombuffer(d.to_bytes(8 * self.words, "little"), np.uint64)
+
     def run(self, body: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """texts x globs: which globs fit each whole text."""
         sizes = np.diff(edges)
         order = np.argsort(-sizes, kind="stable")
         begin, size = edges[:-1][order], sizes[order]
         state = np.repeat(self.first[None], len(order), axis=0)
-        live = len(order)
-        for t in range(int(size[0]) if len(size) else 0):
-            live = int(np.searchsorted(-size[:live], -t, side="left"))
-            c = body[begin[:live] + t]
-            d = state[:live]
+        act, t = np.arange(len(order)), 0
+        while True:
+            act = act[: int(np.searchsorted(-size[act], -t, side="left"))]
+            if t % 64 == 0 and t:
+                act = act[~self.settled(state[act])]
+            if len(act) <= 2:
+                break
+            c = body[begin[act] + t]
+            d = state[act]
             shifted = d << np.uint64(1)
             shifted[:, 1:] |= d[:, :-1] >> np.uint64(63)
-            state[:live] = (shifted & self.enter[c]) | (d & self.stay[c])
+            state[act] = (shifted & self.enter[c]) | (d & self.stay[c])
+            t += 1
+        for i in act.tolist():  # a few long ones: the same step on whole numbers
+            state[i] = self._alone(state[i], body[begin[i] + t : begin[i] + size[i]].tobytes())
         fits = np.stack([(state[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1) for b in self.last], axis=1).astype(bool) if self.last else np.zeros((len(order), 0), bool)
         out = np.empty_like(fits)
         out[order] = fits

@@ -118,7 +118,7 @@ class Window:
     """Bytes of a file by place, read in blocks, with those before `drop` let go."""
 
     def __init__(self, file, size: int, start: int):
-        self.file, self.size, self.base, self.data = file, size, start, b""
+        self.file, self.size, self.base, self.data = file, size, start, bytearray()
 
     def more(self) -> bool:
         at = self.base + len(self.data)
@@ -130,7 +130,8 @@ class Window:
         return bool(got)
 
     def drop(self, upto: int) -> None:
-        self.data, self.base = self.data[upto - self.base :], upto
+        del self.data[: upto - self.base]
+        self.base = upto
 
 
 def records(file, size: int, start: int, end: int) -> Iterator[dict]:
@@ -160,21 +161,21 @@ def records(file, size: int, start: int, end: int) -> Iterator[dict]:
 
 def _inflate(w: Window) -> tuple[dict, int] | None:
     """(row, compressed length) of the member at the window's start, or None if that is no record."""
-    unpack, out, used, tested = zlib.decompressobj(31), [], 0, False
+    unpack, out, used, tested = zlib.decompressobj(31), bytearray(), 0, False
     while True:
         if used >= len(w.data) and not w.more():
             return None
         try:
-            out.append(unpack.decompress(w.data[used:]))
+            out += unpack.decompress(bytes(memoryview(w.data)[used : used + BLOCK]))
         except zlib.error:
             return None
-        used = len(w.data) - len(unpack.unused_data)
-        if not tested and sum(map(len, out)) >= 8:
-            if not b"".join(out).startswith(b"WARC/1."):
+        used = min(len(w.data), used + BLOCK) - len(unpack.unused_data)
+        if not tested and len(out) >= 8:
+            if not out.startswith(b"WARC/1."):
                 return None
             tested = True
         if unpack.eof:
-            row = parse(b"".join(out))
+            row = parse(bytes(out))
             return None if row is None else (row, used)
 
 
