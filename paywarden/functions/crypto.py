@@ -19,10 +19,29 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
     return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
 
 
-def hmac_column(message: Column, key: Column) -> Column:
-    """As hmac_sha256, with a key of at most 64 bytes from a binary column."""
-    bits = lambda x: F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.lpad(F.hex(F.conv(F.hex(F.substring(F.concat(key, F.lit(bytearray(64))), i, F.lit(1))), 16, 10).cast("int").bitwiseXOR(F.lit(x))), 2, "0")), ""))
-    return F.sha2(F.concat(bits(0x5C), F.unhex(F.sha2(F.concat(bits(0x36), message.cast("binary")), 256))), 256)
+_HEX = "0123456789abcdef"
+
+
+def _flipped(key_hex: Column, by: int) -> Column:
+    """64 bytes in hex with each byte xor `by`: a digit-wise translation, as `by` flips each hex digit on its own."""
+    flip = lambda n: "".join(_HEX[i ^ n] for i in range(16))
+    high, low = by >> 4, by & 15
+    if high == low:
+        return F.translate(key_hex, _HEX, flip(high))
+    digits = F.transform(F.split(key_hex, ""), lambda c, i: F.when(i % 2 == 0, F.translate(c, _HEX, flip(high))).otherwise(F.translate(c, _HEX, flip(low))))
+    return F.array_join(digits, "")
+
+
+def hmac_pads(key: Column) -> tuple[Column, Column]:
+    """(inner, outer) padded keys of a binary key of any length: made once per key, then joined to messages."""
+    short = F.when(F.octet_length(key) > 64, F.unhex(F.sha2(key, 256))).otherwise(key)
+    full = F.rpad(F.lower(F.hex(short)), 128, "0")
+    return F.unhex(_flipped(full, 0x36)), F.unhex(_flipped(full, 0x5C))
+
+
+def hmac_padded(message: Column, inner: Column, outer: Column) -> Column:
+    """Lower-case hex HMAC-SHA256 under a key given as its two pads."""
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
 
 
 def fingerprint(url: Column, pay_to: Column, amount: Column, currency: Column, deadline: Column, key: bytes) -> Column:
@@ -43,8 +62,14 @@ def canonical_approval(resource_url: Column, amount_usd: Column, network: Column
     return F.pandas_udf(_ascii_json, "string")(out) if ascii_only else out
 
 
-def signature_ok(payload: Column, signature: Column, key: bytes) -> Column:
-    return F.coalesce(hmac_sha256(payload, key) == F.lower(signature), F.lit(False))
+def webhook_signature(body: Column, key: bytes) -> Column:
+    """The header that lets a webhook check the body it gets: `sha256=` and the HMAC of its bytes."""
+    return F.concat(F.lit("sha256="), hmac_sha256(body, key))
+
+
+def short_id(fingerprint: Column) -> Column:
+    """The first 16 characters of a fingerprint, as logs and messages show it."""
+    return F.substring(fingerprint, 1, 16)
 
 
 def load_key(value: str, least: int = 16, exact: int | None = None) -> bytes:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,18 +32,23 @@ DEFAULT_TEMPLATE = "<REDACTED>"
 ENTITY = "array<struct<start:int,rank:int,end:int,entity_type:string,original_text:string>>"
 
 
+#: Texts of these characters only are fixed points of NFKC: ASCII, and the Latin-1 ones without a compatibility form.
+STABLE = r"^[\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u00FF]*$"
+
+
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
 def fold(text: Column) -> Column:
-    """Native part of normalisation: drop invisible characters, fold look-alikes and hyphens."""
-    return F.translate(text, LOOKALIKE[0] + HYPHENS + INVISIBLE, LOOKALIKE[1] + "-" * len(HYPHENS))
+    """Native part of normalisation: drop invisible characters, fold look-alikes and hyphens; other texts stay as they are."""
+    some = text.rlike(f"[{LOOKALIKE[0]}{HYPHENS}{INVISIBLE}]")
+    return F.when(some, F.translate(text, LOOKALIKE[0] + HYPHENS + INVISIBLE, LOOKALIKE[1] + "-" * len(HYPHENS))).otherwise(text)
 
 
 def normalise(text: Column) -> Column:
-    """NFKC, then fold. Spark has no NFKC, so that step is an Arrow UDF; ASCII text is a fixed point of it."""
-    return fold(F.pandas_udf(_nfkc, "string")(text))
+    """NFKC, then fold. Spark has no NFKC, so that step is an Arrow UDF, to which only texts are sent that it may change."""
+    return fold(F.coalesce(F.pandas_udf(_nfkc, "string")(F.when(~text.rlike(STABLE), text)), text))
 
 
 def spans(text: Column, entity_type: str) -> Column:
@@ -97,7 +102,27 @@ def entity_types(entities: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(entities, lambda e: e["entity_type"])))
 
 
-def scan_fields(fields: dict[str, Column], entities: Sequence[str] | None = None) -> Column:
-    """Entities of several fields, in the order given, each with its field."""
-    tag = lambda name, c: F.transform(detect(c, entities), lambda e: F.struct(F.lit(name).alias("field"), e["entity_type"].alias("entity_type"), e["start"].alias("start"), e["end"].alias("end"), F.lit(1.0).alias("score"), e["original_text"].alias("original_text")))
-    return F.concat(*[tag(n, c) for n, c in fields.items()])
+def of_score(entities: Column, min_score: float) -> Column:
+    """Entities with a score of at least min_score; patterns score 1, detectors plugged in say their own."""
+    return F.filter(entities, lambda e: e["score"] >= min_score)
+
+
+#: Detectors by name: a function of a normalised text column that returns entities (see ENTITY) in order of their start.
+DETECTORS: dict[str, Callable[[Column], Column]] = {"patterns": detect}
+
+
+def register_detector(name: str, detector: Callable[[Column], Column]) -> None:
+    """Plug in a detector; scan_fields and the decision pipeline take it by name."""
+    DETECTORS[name] = detector
+
+
+def scan_fields(fields: dict[str, Column], detector: str = "patterns", min_score: float = 0.0) -> Column:
+    """Entities of several (normalised) fields, in the order given, each with its field and score."""
+    one = lambda e, name: F.struct(F.lit(name).alias("field"), e["entity_type"].alias("entity_type"), e["start"].alias("start"), e["end"].alias("end"), F.lit(1.0).alias("score"), e["original_text"].alias("original_text"))
+    tag = lambda name, c: F.transform(DETECTORS[detector](c), lambda e: one(e, name))
+    return of_score(F.concat(*[tag(n, c) for n, c in fields.items()]), min_score)
+
+
+def entities_of(found: Column, field: str) -> Column:
+    """The entities of one field out of scan_fields' result, as redact takes them."""
+    return F.filter(found, lambda e: e["field"] == field)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,11 +16,14 @@ _PY = [(t, re.compile(p.replace("(?U)", ""))) for t, p in PATTERNS.items()]
 _FOLD = str.maketrans(LOOKALIKE[0] + HYPHENS, LOOKALIKE[1] + "-" * len(HYPHENS), INVISIBLE)
 
 
+def fixed_point(text: str) -> str:
+    """Python twin of normalise."""
+    return unicodedata.normalize("NFKC", text).translate(_FOLD)
+
+
 def redact_text(text: str, template: str = DEFAULT_TEMPLATE) -> tuple[str, list[str]]:
     """Python twin of normalise, detect and redact; also used to test them."""
-    import unicodedata
-
-    text = unicodedata.normalize("NFKC", text).translate(_FOLD)
+    text = fixed_point(text)
     hits = sorted((m.start(), rank, m.end(), t) for rank, (t, p) in enumerate(_PY) for m in p.finditer(text))
     out, at, kinds = [], 0, []
     for start, _, end, kind in hits:

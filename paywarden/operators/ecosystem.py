@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def facilitator_list(facilitators: DataFrame) -> DataFrame:
-    return facilitators.groupBy("blockchain", "project").agg(F.count("*").alias("wallet_count"), F.slice(F.array_sort(F.collect_list("address")), 1, 3).alias("sample_addresses")).orderBy(F.desc("wallet_count"), "blockchain", "project")
+def facilitator_list(facilitators: DataFrame, samples: int = 3) -> DataFrame:
+    """Wallets per chain and project, with the smallest addresses; each task keeps only as many as are shown."""
+    keys = ("blockchain", "project")
+    by = Window.partitionBy(*keys).orderBy("address")
+    first = facilitators.withColumn("r", F.row_number().over(by)).where(F.col("r") <= samples).groupBy(*keys).agg(F.array_sort(F.collect_list("address")).alias("sample_addresses"))
+    counts = facilitators.groupBy(*keys).agg(F.count("*").alias("wallet_count"))
+    same = [counts[k].eqNullSafe(first[k]) for k in keys]
+    return counts.join(first, same).select(counts["blockchain"], counts["project"], "wallet_count", "sample_addresses").orderBy(F.desc("wallet_count"), *keys)
 
 
 def _volume(joined: DataFrame, *keys: str, limit: int | None = None) -> DataFrame:

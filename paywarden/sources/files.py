@@ -9,6 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.crypto import load_key
+from ..functions.scalars import event_time
+
 AUDIT = "timestamp string, event_type string, resource_url string, amount_usd double, network string, agent_id string, outcome string, pii_entities_found array<string>, policy_limit_usd double, replay_fingerprint string, error_message string, prev_entry_hmac string"
 CORPUS = "id string, category string, resource_url string, description string, reason string, pii_positive boolean, labels array<struct<field:string,entity_type:string,start:int,`end`:int,original_text:string,surface_form:string>>"
 DEFAULTS = {"event_type": "UNKNOWN", "resource_url": "", "amount_usd": 0.0, "network": "", "outcome": ""}
@@ -28,7 +31,7 @@ def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
     fields = [x.split()[0] for x in AUDIT.split(", ")]
     cols = [F.coalesce(F.col(f"e.{f}"), F.lit(DEFAULTS[f])).alias(f) if f in DEFAULTS else F.col(f"e.{f}").alias(f) for f in fields]
     out = lines.select("log", "seq", "raw", *cols)
-    return out.withColumns({"timestamp": F.coalesce(F.try_to_timestamp("timestamp"), F.current_timestamp()), "pii_entities_found": F.coalesce("pii_entities_found", F.array().cast("array<string>"))})
+    return out.withColumns({"timestamp": event_time(F.col("timestamp")), "pii_entities_found": F.coalesce("pii_entities_found", F.array().cast("array<string>"))})
 
 
 def events_frame(spark: SparkSession, events: list[dict]) -> DataFrame:
@@ -53,8 +56,25 @@ def discard(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def save_report(report: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(report, indent=2, default=str))
+def save_report(spark: SparkSession, report: dict, path: str) -> None:
+    """The report as one JSON file at a path of any file system that Spark reads."""
+    put_text(spark, json.dumps(report, indent=2, default=str), path)
+
+
+def put_text(spark: SparkSession, text: str, path: str) -> None:
+    """Write a small text file through Hadoop's file systems, in place of what was there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def key_from_conf(spark: SparkSession, name: str, least: int = 16, exact: int | None = None) -> bytes:
+    """A key from a hex string in the session's configuration; ValueError where it is unset, malformed or of the wrong length."""
+    value = spark.conf.get(name, None)
+    if not value:
+        raise ValueError(f"{name} is not set")
+    return load_key(value, least, exact)
 
 
 def validate_policy(policy: dict) -> list[tuple[str, str]]:
