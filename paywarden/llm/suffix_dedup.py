@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, group_edges, slices, store, whole_groups, with_row_id
+from .common import flat_bytes, group_edges, let_go, slices, store, whole_groups, with_row_id
 
 GRAM = 16
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -85,23 +85,43 @@ def regions(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarra
     return doc, grams[p].view(np.int64), lo, hi, p
 
 
-def occurrences(rows: DataFrame, text: str, width: int) -> DataFrame:
+def parts(buf: np.ndarray, offsets: np.ndarray, width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, text number, place in its text) of parts whose windows are those of the texts, each in one part.
+
+    A text over `most` bytes is cut at each `most`-th window, so parts overlap by width - 1 bytes; the others come as one.
+    """
+    sizes = np.diff(offsets)
+    for i in np.flatnonzero(sizes > most).tolist():
+        for at in range(0, max(1, int(sizes[i]) - width + 1), most):
+            part = buf[offsets[i] + at : min(offsets[i] + at + most + width - 1, offsets[i + 1])]
+            yield part, np.array([0, len(part)]), np.array([i]), np.array([at])
+    short = np.flatnonzero(sizes <= most)
+    if len(short) == len(sizes):
+        yield buf, offsets, short, np.zeros(len(short), np.int64)
+    else:
+        kept = [buf[offsets[i] : offsets[i + 1]] for i in short.tolist()]
+        yield np.concatenate([buf[:0], *kept]), np.concatenate([[0], np.cumsum(sizes[short])]), short, np.zeros(len(short), np.int64)
+
+
+def occurrences(rows: DataFrame, text: str, width: int, most: int = 1 << 20) -> DataFrame:
     """(rid, h anchor hash, r hash of the region's bytes, lo first window, len windows less one, po anchor less lo)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         names = ["rid", "h", "r", "lo", "len", "po"]
+        digest = xxhash.xxh3_64_intdigest
         for whole in batches:
-            for b in slices(whole, "t", 1 << 20):
-                buf, offsets = flat_bytes(b.column("t"))
-                doc, h, lo, hi, p = regions(buf, offsets, width)
-                view = memoryview(buf)
-                digest = xxhash.xxh3_64_intdigest
-                r = np.array([digest(view[i : j + width]) for i, j in zip(lo.tolist(), hi.tolist())], np.uint64).view(np.int64)
-                rid = b.column("rid").to_numpy()[doc]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid), pa.array(h), pa.array(r), pa.array((lo - offsets[doc]).astype(np.int32)), pa.array((hi - lo).astype(np.int32)), pa.array((p - lo).astype(np.int32))],
-                    names,
-                )
+            for b in slices(whole, "t", most):
+                rids = b.column("rid").to_numpy()
+                for buf, offsets, number, place in parts(*flat_bytes(b.column("t")), width, most):
+                    doc, h, lo, hi, p = regions(buf, offsets, width)
+                    view = memoryview(buf)
+                    r = np.array([digest(view[i : j + width]) for i, j in zip(lo.tolist(), hi.tolist())], np.uint64).view(np.int64)
+                    at = lo - offsets[doc] + place[doc]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(rids[number[doc]]), pa.array(h), pa.array(r), pa.array(at.astype(np.int32)), pa.array((hi - lo).astype(np.int32)), pa.array((p - lo).astype(np.int32))],
+                        names,
+                    )
 
     return rows.select("rid", F.col(text).alias("t")).mapInArrow(run, "rid long, h long, r long, lo int, len int, po int")
 
@@ -194,21 +214,23 @@ def _rank_names(names: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Suffix array of bytes by induced sorting."""
+    """Suffix array of bytes by induced sorting; positions are 32-bit numbers."""
     n = len(data) + 1
     if n == 1:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
+    if n >= 1 << 31:
+        raise ValueError("2 GiB or more in one suffix array")
     t = np.zeros(n, np.int16)
     t[:-1] = data
     t[:-1] += 1
     k = 257
     # a suffix is smaller than the next if its run of equal bytes is followed by a larger one; the end is smallest
     change = np.flatnonzero(t[1:] != t[:-1])
-    follow = np.searchsorted(change, np.arange(n - 1))
     smaller = np.zeros(n, bool)
-    smaller[:-1] = t[change[follow]] < t[change[follow] + 1]
+    smaller[:-1] = np.repeat(t[change] < t[change + 1], np.diff(change, prepend=-1))
     smaller[-1] = True
-    left = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    del change
+    left = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     counts = np.bincount(t, minlength=k)
     tails = np.cumsum(counts)
     heads = tails - counts
@@ -216,17 +238,18 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     def deal(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return order, np.concatenate([[0], np.cumsum(np.bincount(t[order], minlength=k))])
 
-    sa = np.empty(n, np.int64)
+    sa = np.empty(n, np.int32)
     _induce(t, sa, smaller, heads, tails, deal(left[np.argsort(t[left], kind="stable")]))
     at_left = np.zeros(n, bool)
     at_left[left] = True
     order = sa[at_left[np.maximum(sa, 0)] & (sa >= 0)]
+    del at_left
     if len(order) != len(left):  # the end itself is placed by no other suffix
         order = np.concatenate([left[-1:], order[order != n - 1]])
     # name equal substrings
-    size = np.ones(n, np.int64)
+    size = np.ones(n, np.int32)
     size[left[:-1]] = np.diff(left) + 1
-    words = _words(np.concatenate([t.view(np.uint8)]))[::2]  # four symbols of two bytes
+    words = _words(t.view(np.uint8))[::2]  # four symbols of two bytes
     x, y = order[:-1], order[1:]
     same = size[x] == size[y]
     act = np.flatnonzero(same)
@@ -238,9 +261,11 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         same[act[diff != 0]] = False
         off += 4
         act = act[(diff == 0) & (rest > 4)]
-    names = np.empty(n, np.int64)
+    del size, words, x, y, act
+    names = np.empty(n, np.int32)
     names[order] = np.concatenate([[0], np.cumsum(~same)])
     name = names[left]
+    del names
     if len(order) > 1 and same.any():
         rank = _rank_names(name)
         order = np.empty_like(left)
@@ -257,16 +282,15 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int, anew: np.ndarra
     position before them.
     """
     n = len(data)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
-    before = np.where(phi > 0, data[np.maximum(phi - 1, 0)].astype(np.int16), -1)
-    own = np.concatenate([[-2], data[:-1].astype(np.int16)])
-    irreducible = (before != own) | (phi <= 0)
+    irreducible = phi <= 0
+    irreducible[1:] |= data[np.maximum(phi[1:] - 1, 0)] != data[:-1]
+    irreducible[:1] = True
     irreducible[anew] = True
-    start = np.flatnonzero(irreducible)
-    length = np.zeros(n, np.int64)
+    length = np.zeros(n, np.int32)
     words = _words(data, 8)
-    act = start[phi[start] >= 0]
+    act = np.flatnonzero(irreducible & (phi >= 0)).astype(np.int32)
     off = 0
     while len(act) and off < most:
         a, b = act + off, phi[act] + off
@@ -280,14 +304,16 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int, anew: np.ndarra
         length[act] = off + same
         act = act[same == 8]
         off += 8
-    last = np.maximum.accumulate(np.where(irreducible, np.arange(n), 0))
-    return np.maximum(length[last] - (np.arange(n) - last), 0)
+    del phi, words
+    at = np.arange(n, dtype=np.int32)
+    last = np.maximum.accumulate(np.where(irreducible, at, np.int32(0)))
+    return np.maximum(length[last] - (at - last), 0)
 
 
 def repeated_windows(data: np.ndarray, starts: np.ndarray, width: int, longest: int) -> np.ndarray:
     """True where the `width` bytes from a position occur at another position too; separators never match whole windows."""
     sa = suffix_array(data)
-    before = common_prefixes(data, sa, longest + 2 * width, starts)
+    before = common_prefixes(data, sa, longest + 2 * width, starts)  # both 32-bit
     out = before >= width
     follow = before[sa[1:]] >= width
     out[sa[:-1][follow]] = True
@@ -316,17 +342,17 @@ def _halves(hot: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _sorted_marks(pieces: DataFrame, width: int, weight: int = 1 << 20) -> DataFrame:
+def _sorted_marks(pieces: DataFrame, width: int, weight: int = 1 << 19) -> DataFrame:
     """Marks (rid, lo, hi) of the windows of pieces met once (c = 1) that occur again in their group's suffix array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         weigh = lambda b: int(pa.compute.sum(pa.compute.binary_length(b.column("content"))).as_py() or 0)
         for t in whole_groups(batches, "key", weight, weigh):
             body, off = flat_bytes(pa.concat_arrays(t.column("content").chunks))
             n, sizes = t.num_rows, np.diff(off)
             starts = off[:-1] + np.arange(n)
-            data = np.full(len(body) + n, 255, np.uint8)
-            data[np.arange(len(body)) + np.repeat(np.arange(n), sizes)] = body
+            data = np.insert(body, off[1:], np.uint8(255))
             again = repeated_windows(data, starts, width, int(sizes.max()))
             windows = t.column("len").to_numpy().astype(np.int64) + 1
             once = t.column("c").to_numpy() == 1
@@ -399,11 +425,11 @@ def repeated_marks(rows: DataFrame, text: str = "text", width: int = 200, most:
 
 def cut_repeats(docs: DataFrame, text: str = "text", width: int = 200, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of each row, n_bytes, n_removed, n_spans, `kept` (binary): what is left of the text, and `kept_text`: its whole characters."""
-    rows = with_row_id(docs.select(*keep, text))
-    marks = repeated_marks(rows.select("rid", text), text, width)
-    by_row = marks.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))  # as many as the text has windows at most
     names = [f"k{i}" for i in range(len(keep))]
-    src = rows.join(by_row, "rid", "left").select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).alias("t"), F.col("marks.lo").alias("lo"), F.col("marks.hi").alias("hi"))
+    rows = with_row_id(docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).alias("t")))
+    marks = repeated_marks(rows.select("rid", "t"), "t", width)
+    by_row = marks.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))  # as many as the text has windows at most
+    src = rows.join(by_row, "rid", "left").select(*names, "t", F.col("marks.lo").alias("lo"), F.col("marks.hi").alias("hi"))
     schema = "".join(f"{n} {src.schema[n].dataType.simpleString()}, " for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
