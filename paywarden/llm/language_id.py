@@ -11,7 +11,8 @@ the vocabulary, and a matrix (words x languages) of prefix sums moves along the
 bounded table.
 
 Training reads a bounded sample: about `per_language` labelled rows of each language, chosen by a hash of the row's
-key, or all rows where there are fewer. The model has (vocabulary x languages) numbers, whatever the input's size.
+key, or all rows where there are fewer, and of at most `languages` languages. The model has (vocabulary x languages)
+numbers, whatever the input's size.
 
 Defined cases: text that is null or has no letter is `und` with score 0; without any training rows all texts are
 `und`; ties go to the language first in order; words above 40 characters are cut every 40, and each part is summed
@@ -81,12 +82,19 @@ class Forward:
     def log_sums(self, words: list[str], prob: np.ndarray) -> np.ndarray:
         """log of the summed probability of each word (at most PART characters) in each language; prob is pieces x languages."""
         out = np.zeros((len(words), prob.shape[1]))
+        for m, at in self._blocks(words, prob.shape[1]):
+            out[at] = np.log(self._alpha([words[i] for i in at], m, prob)[0][:, m])
+        return out
+
+    @staticmethod
+    def _blocks(words: list[str], languages: int, most: int = 1 << 22) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, places) of words of one length, few enough at a time for `most` numbers in their prefix sums."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for m in np.unique(sizes):
+        for m in np.unique(sizes).tolist():
             at = np.flatnonzero(sizes == m)
-            own = [words[i] for i in at]
-            out[at] = np.log(self._alpha(own, int(m), prob)[0][:, int(m)])
-        return out
+            step = max(1, most // ((m + 1) * max(1, languages)))
+            for i in range(0, len(at), step):
+                yield m, at[i : i + step]
 
     def _alpha(self, words: list[str], m: int, prob: np.ndarray) -> tuple[np.ndarray, list]:
         alpha = np.zeros((len(words), m + 1, prob.shape[1]))
@@ -106,9 +114,7 @@ class Forward:
     def expected(self, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """Expected piece counts (pieces x languages) where word i occurs counts[i, language] times."""
         out = np.zeros_like(prob)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for m in np.unique(sizes).tolist():
-            at = np.flatnonzero(sizes == m)
+        for m, at in self._blocks(words, prob.shape[1]):
             alpha, seen = self._alpha([words[i] for i in at], m, prob)
             beta = np.zeros_like(alpha)
             beta[:, m] = 1
@@ -124,10 +130,13 @@ class Forward:
         return out
 
 
-def fit(docs: DataFrame, path: str, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, rounds: int = 2) -> tuple[list[str], np.ndarray]:
-    """(languages in order, log-free probabilities pieces x languages) from the rows where `train` holds."""
+def fit(docs: DataFrame, path: str, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, rounds: int = 2, languages: int = 200) -> tuple[list[str], np.ndarray]:
+    """(languages in order, log-free probabilities pieces x languages) from the rows where `train` holds.
+
+    At most `languages` values of `lang` are learned, those of most rows (then the first in order): the bound of the model.
+    """
     rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"), F.xxhash64(key).alias("x"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}  # a row per language
     langs = sorted(sizes)
     pieces = vocabulary(path)
     if not langs:
