@@ -79,8 +79,10 @@ class Budget:
         if endpoint is not None:
             self.by.setdefault(endpoint, Ledger()).record(now, amount)
 
-    def decide(self, now: int | None, amount: float | None, endpoint: str | None) -> tuple[str, float | None]:
-        """(verdict, limit that was hit); only an allowed payment is recorded, in both ledgers."""
+    def decide(self, now: int | None, amount: float | None, endpoint: str | None, alive: bool = True) -> tuple[str | None, float | None]:
+        """(verdict, limit that was hit); only an allowed payment is recorded, in both ledgers. No verdict if it is not alive."""
+        if not alive:
+            return None, None
         if (bad := invalid(now, amount)) is not None:
             return bad, None
         p, window = self.policy, self.policy.window_seconds * 1_000_000
@@ -94,15 +96,17 @@ class Budget:
         return "allowed", None
 
 
-def budget_decisions(payments: DataFrame, policy: Policy, agent: str = "agent_id", ts: str = "ts", seq: str = "seq", amount: str = "amount_usd", url: str = "resource_url") -> DataFrame:
+def budget_decisions(payments: DataFrame, policy: Policy, agent: str = "agent_id", ts: str = "ts", seq: str = "seq", amount: str = "amount_usd", url: str = "resource_url", alive: Column | None = None) -> DataFrame:
     """payments with policy_verdict and policy_limit_usd; decided greedily in order of (ts, seq) for each agent.
 
+    alive: rows for which it is false get nulls and have no effect, as they were stopped before.
+
     An amount that is null, not finite or negative is `invalid_amount`, a null time `invalid_time`: not recorded, so
     it has no effect on other payments. One agent's payments are decided by one task, as each depends on those before.
     """
-    df = payments.withColumns({"__at": F.unix_micros(F.col(ts).cast("timestamp")), "__endpoint": urls.longest_prefix(F.col(url), list(policy.per_endpoint)), "__usd": F.col(amount).cast("double")})
-    out = ordered_fold(df, agent, ["__at", seq], ["__at", "__usd", "__endpoint"], lambda: Budget(policy), Budget.decide, "policy_verdict string, policy_limit_usd double")
-    return out.drop("__at", "__endpoint", "__usd")
+    df = payments.withColumns({"__at": F.unix_micros(F.col(ts).cast("timestamp")), "__endpoint": urls.longest_prefix(F.col(url), list(policy.per_endpoint)), "__usd": F.col(amount).cast("double"), "__alive": alive if alive is not None else F.lit(True)})
+    out = ordered_fold(df, agent, ["__at", seq], ["__at", "__usd", "__endpoint", "__alive"], lambda: Budget(policy), Budget.decide, "policy_verdict string, policy_limit_usd double")
+    return out.drop("__at", "__endpoint", "__usd", "__alive")
 
 
 def replay_step(live: int | None, now: int | None, ttl: int) -> tuple[bool, int | None]:
@@ -111,17 +115,22 @@ def replay_step(live: int | None, now: int | None, ttl: int) -> tuple[bool, int
     return fine, now + ttl if fine else live
 
 
-def replay_decisions(payments: DataFrame, ttl_seconds: int = 300, key: str = "replay_fingerprint", ts: str = "ts", seq: str = "seq") -> DataFrame:
-    """payments with replay_ok: a fingerprint is accepted if its last acceptance is at least the ttl ago; a null time is not."""
-    df = payments.withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp")))
+def replay_decisions(payments: DataFrame, ttl_seconds: int = 300, key: str = "replay_fingerprint", ts: str = "ts", seq: str = "seq", alive: Column | None = None) -> DataFrame:
+    """payments with replay_ok: a fingerprint is accepted if its last acceptance is at least the ttl ago; a null time is not.
+
+    alive: rows for which it is false get null and have no effect.
+    """
+    df = payments.withColumns({"__at": F.unix_micros(F.col(ts).cast("timestamp")), "__alive": alive if alive is not None else F.lit(True)})
     ttl = ttl_seconds * 1_000_000
 
-    def step(state: list, now: int | None) -> tuple[bool]:
+    def step(state: list, now: int | None, alive: bool) -> tuple[bool | None]:
+        if not alive:
+            return (None,)
         fine, live = replay_step(state[0] if state else None, now, ttl)
         state[:] = [live]
         return (fine,)
 
-    return ordered_fold(df, key, ["__at", seq], ["__at"], list, step, "replay_ok boolean").drop("__at")
+    return ordered_fold(df, key, ["__at", seq], ["__at", "__alive"], list, step, "replay_ok boolean").drop("__at", "__alive")
 
 
 def rolling_spend(payments: DataFrame, window_seconds: int = 86_400, agent: str = "agent_id", ts: str = "ts", amount: str = "amount_usd") -> DataFrame:
@@ -160,16 +169,18 @@ def quorum_verdict(threshold: int, signed: Column, answered: Column, agreed: Col
     return enough.when(signed + agreed >= threshold, "approved").otherwise("denied")
 
 
-def quorum(payments: DataFrame, approvals: DataFrame, approvers: DataFrame, threshold: int, min_amount_usd: float = 0.0, payload: Column | None = None, timeout_seconds: float | None = None) -> DataFrame:
+def quorum(payments: DataFrame, approvals: DataFrame, approvers: DataFrame, threshold: int, min_amount_usd: float = 0.0, payload: Column | None = None, timeout_seconds: float | None = None, alive: str | None = None) -> DataFrame:
     """payments with approvals_received and mpa_verdict: exempt, approved, denied or timeout.
 
     An approval counts once per approver: a signature must be right for the approver's secret (crypto), or the
     approval must say approved (webhook). With timeout_seconds, payments and approvals have `ts`; a webhook's answer
     counts if it comes within that time, and where an answer is missing then and signatures alone don't do, the verdict
-    is timeout. Without it, a missing answer is a refusal. Null amounts are denied.
+    is timeout. Without it, a missing answer is a refusal. Null amounts are denied. alive: a column; rows for which it is
+    false get nulls.
     """
+    stopped = ~F.col(alive) if alive else F.lit(False)
     body = payload if payload is not None else crypto.canonical_approval(F.col("resource_url"), F.col("amount_usd"), F.col("network"), F.col("agent_id"), ascii_only=False)
-    due = payments.where(F.col("amount_usd") >= min_amount_usd)
+    due = payments.where((F.col("amount_usd") >= min_amount_usd) & ~stopped)
     given = valid_votes(approvals.join(due.select("payment_id", body.alias("__body")), "payment_id"), approvers, "__body")
     web = F.col("mode") == "webhook"
     if timeout_seconds is not None:
@@ -186,5 +197,5 @@ def quorum(payments: DataFrame, approvals: DataFrame, approvers: DataFrame, thre
         hooks = approvers.where(web).agg(F.count("*").alias("__webhooks"))
         out = out.join(F.broadcast(hooks))  # one row
         verdict = quorum_verdict(threshold, F.col("__signed"), F.col("__answered"), F.col("__agreed"), F.col("__webhooks"))
-    verdict = F.when(F.col("amount_usd") < min_amount_usd, "exempt").when(F.col("amount_usd").isNull(), "denied").otherwise(verdict)
-    return out.withColumn("approvals_received", F.col("__all")).withColumn("mpa_verdict", verdict).drop("__all", "__signed", "__answered", "__agreed", "__webhooks")
+    verdict = F.when(stopped, None).when(F.col("amount_usd") < min_amount_usd, "exempt").when(F.col("amount_usd").isNull(), "denied").otherwise(verdict)
+    return out.withColumn("approvals_received", F.when(~stopped, F.col("__all"))).withColumn("mpa_verdict", verdict).drop("__all", "__signed", "__answered", "__agreed", "__webhooks")

@@ -1,7 +1,8 @@
 """The decision pipeline: amounts, personal data, wallets, limits, replays and approvals, in that order.
 
-Two shuffles carry state (by agent, then by fingerprint); a later rejection does not give back what an earlier step
-recorded, so the steps need no shared state.
+Two shuffles carry state (by agent, then by fingerprint), one brings approvals; a later rejection does not give back what
+an earlier step recorded, so the steps need no shared state. Stopped payments go along to the end, so every step is
+planned and run once.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crypto, scalars
-from ..functions.detect import entities_of, normalise, redact, scan_fields
+from ..functions.detect import STABLE, entities_of, normalise, redact, scan_fields
 from ..functions.json_scan import scan_json
 from ..operators import audit
 from ..operators.admission import Policy, budget_decisions, quorum, replay_decisions, wallet_check
@@ -31,7 +32,8 @@ def screen(payments: DataFrame, detector: str = "patterns", min_score: float = 0
     df = df.withColumn("__found", scan_fields({f: F.col(f"__n_{f}") for f in has}, detector, min_score))
     types = F.transform("__found", lambda e: e["entity_type"])
     if "extra" in payments.columns:
-        plain = F.col("extra").isNull() | F.trim("extra").isin("", "{}", "null")
+        # every pattern needs an @ or four digits; escapes and characters that NFKC may change could hide them
+        plain = ~F.coalesce(F.col("extra").rlike(r"@|\\|(?:[0-9][^0-9]*){4}") | ~F.col("extra").rlike(STABLE), F.lit(False)) & F.lit(detector == "patterns")
         df = df.withColumn("__extra", scan_json(F.when(~plain, F.col("extra"))))
         types = F.concat(types, F.when(~plain, F.coalesce("__extra.entity_types", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("pii_entities", types).withColumn("pii_types", F.array_sort(F.array_distinct("pii_entities")))
@@ -64,19 +66,19 @@ def decide(
     stop = (F.size("pii_types") > 0) if pii_action == "block" else F.lit(False)
     df = wallet_check(df.withColumn("__pii", stop), trusted, url="__url")
     early = F.when(F.col("error").isNotNull(), "payment_error").when(F.col("__pii"), "pii_blocked").when(~F.col("wallet_ok"), "wallet_blocked")
-    df = df.withColumn("verdict", early)
-    out = df.where(F.col("verdict").isNotNull())
-    df = budget_decisions(df.where(F.col("verdict").isNull()), policy, url="__url")
-    df = df.withColumn("verdict", F.when(F.col("policy_verdict") != "allowed", "policy_blocked"))
-    out = out.unionByName(df.where(F.col("verdict").isNotNull()), allowMissingColumns=True)
+    alive = F.col("verdict").isNull()
+    df = budget_decisions(df.withColumn("verdict", early), policy, url="__url", alive=alive)
+    df = df.withColumn("verdict", F.coalesce("verdict", F.when(F.col("policy_verdict") != "allowed", "policy_blocked")))
     mark = crypto.fingerprint(F.col("resource_url"), F.col("pay_to"), F.col("amount"), F.col("currency"), F.col("deadline_seconds"), key)
-    df = replay_decisions(df.where(F.col("verdict").isNull()).withColumn("replay_fingerprint", mark), ttl_seconds)
-    df = df.withColumn("verdict", F.when(~F.col("replay_ok"), "replay_blocked"))
-    out = out.unionByName(df.where(F.col("verdict").isNotNull()), allowMissingColumns=True)
-    signed = crypto.canonical_approval(F.col("__url"), F.col("amount_usd"), F.col("network"), F.col("agent_id"), ascii_only=False)
-    last = quorum(df.where(F.col("verdict").isNull()), approvals, approvers, threshold, min_amount_usd, signed, timeout_seconds)
-    last = last.withColumn("verdict", F.when(F.col("mpa_verdict") == "denied", "mpa_blocked").when(F.col("mpa_verdict") == "timeout", "mpa_timeout").otherwise("allowed"))
-    return out.unionByName(last, allowMissingColumns=True).drop("__pii", "__url")
+    df = replay_decisions(df.withColumn("replay_fingerprint", mark), ttl_seconds, alive=alive)
+    df = df.withColumn("verdict", F.coalesce("verdict", F.when(~F.col("replay_ok"), "replay_blocked"))).withColumn("__alive", alive)
+    if approvers.isEmpty() and threshold <= 0:  # no approvals are asked for
+        df = df.withColumns({"approvals_received": F.lit(None).cast("long"), "mpa_verdict": F.lit(None).cast("string")})
+    else:
+        signed = crypto.canonical_approval(F.col("__url"), F.col("amount_usd"), F.col("network"), F.col("agent_id"), ascii_only=False)
+        df = quorum(df, approvals, approvers, threshold, min_amount_usd, signed, timeout_seconds, "__alive")
+    last = F.when(F.col("mpa_verdict") == "denied", "mpa_blocked").when(F.col("mpa_verdict") == "timeout", "mpa_timeout").otherwise("allowed")
+    return df.withColumn("verdict", F.coalesce("verdict", last)).drop("__pii", "__url", "__alive")
 
 
 #: Audit event and error text of each verdict; an allowed payment has no error.
