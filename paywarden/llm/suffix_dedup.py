@@ -13,7 +13,7 @@ document. The work is done in three steps.
    don't pay for a large alphabet), and the array induced bucket by bucket in linear time, each bucket in bulk.
    Permuted common prefixes (irreducible ones compared, the rest one less than the one before) tell which windows
    occur again.
-3. Cutting. The marked windows of a document come together by row id and cut its bytes.
+3. Cutting. The marked windows of a document, merged to runs block by block, come together by row id and cut its bytes.
 
 Hot anchors (above `most` distinct regions) are split exactly: windows are told apart by where the anchor lies in
 them, in halves, each keyed with the bytes that all windows of the half share. Halves go on to halves until a group
@@ -423,12 +423,29 @@ def repeated_marks(rows: DataFrame, text: str = "text", width: int = 200, most:
     return out
 
 
+def _runs(marks: DataFrame, width: int, block: int = 14) -> DataFrame:
+    """(rid, runs): marks that start in the same 2**block bytes of a row, those merged whose strings overlap or touch.
+
+    So a row's runs are at most one for each `width` bytes of it, and two for each block, however many marks it has.
+    """
+    some = marks.groupBy("rid", F.shiftright("lo", block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("m"))
+    run = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    first = F.get("m", F.lit(0))
+    start = F.struct(F.slice("m", 1, 0).alias("out"), run(first["lo"], first["hi"]).alias("at"))
+
+    def step(acc, x):
+        joined = F.struct(acc["out"].alias("out"), run(acc["at"]["lo"], F.greatest(acc["at"]["hi"], x["hi"])).alias("at"))
+        return F.when(x["lo"] <= acc["at"]["hi"] + width, joined).otherwise(F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), x.alias("at")))
+
+    return some.select("rid", F.aggregate("m", start, step, lambda acc: F.concat(acc["out"], F.array(acc["at"]))).alias("runs"))
+
+
 def cut_repeats(docs: DataFrame, text: str = "text", width: int = 200, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of each row, n_bytes, n_removed, n_spans, `kept` (binary): what is left of the text, and `kept_text`: its whole characters."""
     names = [f"k{i}" for i in range(len(keep))]
     rows = with_row_id(docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).alias("t")))
     marks = repeated_marks(rows.select("rid", "t"), "t", width)
-    by_row = marks.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))  # as many as the text has windows at most
+    by_row = _runs(marks, width).groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("marks"))
     src = rows.join(by_row, "rid", "left").select(*names, "t", F.col("marks.lo").alias("lo"), F.col("marks.hi").alias("hi"))
     schema = "".join(f"{n} {src.schema[n].dataType.simpleString()}, " for n in names)
 
