@@ -28,7 +28,7 @@ from .common import free_name
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
     "secret": r"""\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api[_\-]?key)\b["']?\s*[=:]\s*["']?(?=[A-Za-z_\-/+.]*[0-9])[A-Za-z0-9_\-/+.]{8,}["']?)""",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
@@ -55,6 +55,8 @@ RUNS = {
 ANY = "|".join(f"(?:{RUNS.get(k, p)})" for k, p in PATTERNS.items())
 #: What a text needs to hold a candidate at all; cheap to look for.
 GATE = r"[0-9@]"
+#: A character that no candidate has.
+MARK = "\uffff"
 ROUNDS, DAYS_A, DAYS_B = 8, 270, 271
 
 
@@ -236,6 +238,15 @@ def _inner(m: Column, key: Column) -> Column:
     return F.aggregate(hits, begin, step, lambda acc: F.concat(acc["parts"], F.array(plain(F.substring(m, acc["at"], F.length(m))))))
 
 
+def _pieces(t: Column) -> Column:
+    """The text cut in what is between candidates and the candidates, in turns. One search marks them all; a text that has
+    the mark already is searched twice instead."""
+    marked = F.split(F.regexp_replace(t, F.lit(ANY), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    ends = F.concat(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), F.array(F.lit("")))
+    pairs = F.flatten(F.zip_with(F.split(t, ANY, -1), ends, lambda gap, m: F.array(gap, m)))
+    return F.when(F.contains(t, F.lit(MARK)), F.slice(pairs, F.lit(1), F.size(pairs) - 1)).otherwise(marked)
+
+
 def key_of(docs: DataFrame, key: str | None) -> str:
     key = key or docs.sparkSession.conf.get("spark.paywarden.pii.key", None)
     if not key:
@@ -247,16 +258,17 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, fo
     """docs with `text` pseudonymised in place; `found`, if named, gets the array of (kind, value, pseudonym) that changed."""
     k = F.lit(key_of(docs, key))
     t = F.col(text)
-    candidates = F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
-    kinded = F.transform(candidates, lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind")))
-    hits = F.transform(kinded, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], k).alias("pseudonym")))
+    names = [free_name(docs, "pieces"), found or free_name(docs, "found")]
+    pieces, hits = map(F.col, names)
+    between = lambda rest: F.filter(pieces, lambda x, i: i % 2 == rest)
+    out = docs.withColumn(names[0], F.when(t.rlike(GATE), _pieces(t)))
+    kinded = F.transform(between(1), lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind")))
+    made = F.transform(kinded, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], k).alias("pseudonym")))
     fails = lambda h: (h["value"] == h["pseudonym"]) & F.coalesce(h["kind"].isin("iban", "card"), F.lit(True))
-    hits = F.transform(hits, lambda h: F.when(fails(h), _inner(h["value"], k)).otherwise(F.array(h)))
-    name = found or free_name(docs, "found")
-    out = docs.withColumn(name, F.when(t.rlike(GATE), F.when(t.rlike(ANY), hits)))
-    gaps = F.split(t, ANY, -1)
-    spliced = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(name)), F.col(name), lambda g, h: F.concat(g, F.array_join(h["pseudonym"], ""))), ""), F.element_at(gaps, -1))
-    out = out.withColumn(text, F.when(F.col(name).isNull(), t).otherwise(spliced))
+    made = F.transform(made, lambda h: F.when(fails(h), _inner(h["value"], k)).otherwise(F.array(h)))
+    out = out.withColumn(names[1], F.when(F.size(pieces) > 1, made))
+    spliced = F.concat(F.array_join(F.zip_with(F.slice(between(0), 1, F.size(hits)), hits, lambda g, h: F.concat(g, F.array_join(h["pseudonym"], ""))), ""), F.element_at(pieces, -1))
+    out = out.withColumn(text, F.when(hits.isNull(), t).otherwise(spliced)).drop(names[0])
     if not found:
         return out.select(*docs.columns)
     flat = F.flatten(F.coalesce(F.col(found), F.array().cast(out.schema[found].dataType)))
