@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.detect import DETECTORS, PATTERNS, detect, normalise, of_score
+from ..functions.detect import DETECTORS, PATTERNS, detect, normalise, of_score, resolve, spans
 from ..functions.scalars import overlaps, ratio, round_even
 
 SUBSETS = (*[(t,) for t in PATTERNS], tuple(PATTERNS))
@@ -61,9 +61,11 @@ def sample_report(df: DataFrame, truth: Column, predicted: Column) -> DataFrame:
 
 def sweep(texts: DataFrame, text: str = "text", subsets: tuple[tuple[str, ...], ...] = SUBSETS) -> DataFrame:
     """Per configuration (a subset of types): texts with any entity, and entities. One pass over the texts."""
-    t = F.col("t")
-    configs = F.array(*[F.struct(F.lit("+".join(s) if len(s) < len(PATTERNS) else "all").alias("config"), F.size(detect(t, s)).alias("n")) for s in subsets])
-    return texts.select(normalise(F.col(text)).alias("t")).select(F.inline(configs)).groupBy("config").agg(F.count_if(F.col("n") > 0).alias("texts_with_any"), F.sum("n").alias("entities"))
+    types = list(PATTERNS)
+    rows = texts.select(normalise(F.col(text)).alias("t")).withColumns({f"s{i}": spans(F.col("t"), k) for i, k in enumerate(types)})  # each pattern once
+    found = lambda s: F.size(resolve(F.concat(*[F.col(f"s{types.index(k)}") for k in s]))) if s else F.lit(0)
+    configs = F.array(*[F.struct(F.lit("+".join(s) if len(s) < len(PATTERNS) else "all").alias("config"), found(s).alias("n")) for s in subsets])
+    return rows.select(F.inline(configs)).groupBy("config").agg(F.count_if(F.col("n") > 0).alias("texts_with_any"), F.sum("n").alias("entities"))
 
 
 def configurations(modes: tuple[str, ...] = ("patterns",)) -> list[tuple[str, tuple[str, ...], float]]:
