@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: networks that a webhook must not point at
-BLOCKED = ("127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "100.64.0.0/10", "0.0.0.0/8", "::1/128", "fc00::/7", "fe80::/10", "::/128")
+BLOCKED = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "100.64.0.0/10", "0.0.0.0/8", "::1/128", "fc00::/7", "fe80::/10", "::/128")
 _V4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
 
 
@@ -57,14 +57,18 @@ def ip_blocked(ip: Column) -> Column:
     return F.when(ip.contains(":"), F.pandas_udf(_any_blocked, "boolean")(ip)).otherwise(ipv4_blocked(ip))
 
 
-def webhook_error(url: Column) -> Column:
-    """Why a webhook url is refused, or null: empty, not_https, no_host, blocked_address (literal IPv4 or IPv6)."""
+def host(url: Column) -> Column:
+    """The host of a url without user, port and brackets; empty where there is none."""
     authority = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), r"^[^@]*@", "")
     six = F.regexp_extract(authority, r"^\[([^\]]*)\]", 1)
-    host = F.when(six != "", six).otherwise(F.regexp_replace(authority, r":[0-9]*$", ""))
+    return F.when(six != "", six).otherwise(F.regexp_replace(authority, r":[0-9]*$", ""))
+
+
+def webhook_error(url: Column) -> Column:
+    """Why a webhook url is refused, or null: empty, not_https, no_host, blocked_address (literal IPv4 or IPv6)."""
     return (
         F.when(url.isNull() | (url == ""), F.lit("empty")).when(~F.lower(url).startswith("https://"), F.lit("not_https"))
-        .when(host == "", F.lit("no_host")).when(F.coalesce(ip_blocked(host), F.lit(False)), F.lit("blocked_address"))
+        .when(host(url) == "", F.lit("no_host")).when(F.coalesce(ip_blocked(host(url)), F.lit(False)), F.lit("blocked_address"))
     )
 
 

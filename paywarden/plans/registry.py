@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import crypto, scalars, urls
 from ..functions.detect import HYPHENS, INVISIBLE, LOOKALIKE, PATTERNS, detect, entity_types, normalise, redact, scan_fields, spans
 from ..functions.json_scan import fixed_point, scan_json
-from ..operators import admission, audit, ecosystem, evaluation, payments
+from ..operators import admission, audit, ecosystem, evaluation, payments, services
 from ..sources import corpus, facade
 from . import pipeline
 
@@ -357,6 +360,111 @@ def payment_required(spark, sf):
     return payments.payment_requests(e.select("event_id", status.alias("http_status"), header.alias("x_payment"))).select("event_id", "x_payment")
 
 
+# ---------------------------------------------------------------- services
+
+
+def _screening_service():
+    """A stand-in for a screening service, which answers by the number in the description."""
+    asked: dict[int, int] = {}
+
+    def post(url: str, body: bytes, headers: dict[str, str]):
+        sent = json.loads(body)
+        n = int(sent["description"])
+        asked[n] = asked.get(n, 0) + 1
+        if n % 8 == 3 or headers["X-API-Key"] != "key" or not url.endswith("/v1/screen"):
+            raise OSError("nothing there")
+        if n % 8 == 2 and asked[n] == 1:
+            return 503, {}, b""
+        good = {"redacted_reason": "for <REDACTED>", "entities_found": [{"entity_type": "EMAIL_ADDRESS", "count": 2}, {"entity_type": "PERSON"}]}
+        return {0: (401, {}, b""), 1: (429, {"Retry-After": str(n - 50)}, b""), 4: (200, {}, b"<html>"), 5: (404, {}, b""), 6: (200, {}, b"{}")}.get(n % 8, (200, {}, json.dumps(good).encode()))
+
+    return post
+
+
+@query("""WITH p AS (SELECT event_id AS id, event_id % 8 AS k FROM events) SELECT id AS payment_id, CASE WHEN k IN (2, 7) THEN 'for <REDACTED>' WHEN k = 6 THEN 'for a@b.co' END AS clean_reason,
+ CASE WHEN k IN (2, 7) THEN ['EMAIL_ADDRESS', 'EMAIL_ADDRESS', 'PERSON'] WHEN k = 6 THEN []::VARCHAR[] END AS pii_entities, CASE k WHEN 0 THEN 'unauthorized' WHEN 1 THEN 'rate_limited' WHEN 3 THEN 'unreachable' WHEN 4 THEN 'not_json' WHEN 5 THEN 'unavailable' END AS screening_error,
+ CASE WHEN k = 1 THEN greatest(0, id - 50) END::INT AS retry_after FROM p""")
+def remote_screening(spark, sf):
+    p = facade.payments(spark, sf).withColumns({"description": F.col("payment_id").cast("string"), "reason": F.lit("for a@b.co")})
+    return services.remote_screen(p, _screening_service, "https://screen.example.com/", "key", wait=0.0).select("payment_id", "clean_reason", "pii_entities", "screening_error", "retry_after")
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS h FROM pages) SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'unresolved' WHEN 1 THEN 'blocked_address' WHEN 2 THEN 'blocked_address' END AS host_error FROM p""")
+def webhook_hosts(spark, sf):
+    """Urls whose host has no address, a private one among others, or a public one only; and one given as an address."""
+    p, k = facade.table(spark, sf, "pages"), F.col("page_id") % 4
+    url = F.when(k == 2, "https://192.168.3.4/hook").otherwise(F.concat(F.lit("https://User@H"), "page_id", F.lit(".Example.com:8443/hook")))
+    hooks = p.select("page_id", url.alias("webhook_url"))
+    addresses = F.when(k == 1, F.array(F.lit("9.9.9.9"), F.lit("10.0.0.7"))).when(k == 3, F.array(F.lit("9.9.9.9"))).otherwise(F.array().cast("array<string>"))
+    hosts = p.select(F.concat(F.lit("h"), "page_id", F.lit(".example.com")).alias("host"), F.explode(addresses).alias("ip"))
+    return services.blocked_hosts(hooks, hosts).select("page_id", "host_error")
+
+
+def _approver_service():
+    """A stand-in for approvers' webhooks: the request must be signed; the answer is by the payment's number."""
+
+    def post(url: str, body: bytes, headers: dict[str, str]):
+        n = int(json.loads(body)["request_id"])
+        secret = None if "open" in url else KEY
+        if secret and headers.get("X-MPA-REQUEST-HMAC") != hmac.new(secret, body, hashlib.sha256).hexdigest():
+            return 403, {}, b""
+        answer = json.dumps({"approved": n % 3 != 0, "reason": None if n % 3 else "too much"}).encode()
+        made = hmac.new(secret if n % 5 else b"wrong", answer, hashlib.sha256).hexdigest() if secret else ""
+        return 200, {"X-MPA-HMAC": made.upper()}, answer
+
+    return post
+
+
+@query("""WITH p AS (SELECT event_id AS id FROM events) SELECT id AS payment_id, 'bob' AS approver_id, id % 3 <> 0 AND id % 5 <> 0 AS approved, CASE WHEN id % 5 = 0 THEN 'wrong_signature' WHEN id % 3 = 0 THEN 'too much' END AS reason FROM p
+ UNION ALL SELECT id, 'carol', id % 3 <> 0, CASE WHEN id % 3 = 0 THEN 'too much' END FROM p UNION ALL SELECT id, 'dave', false, 'blocked_address' FROM p""")
+def webhook_approvals(spark, sf):
+    approvers = spark.createDataFrame([("bob", "webhook", bytearray(KEY), "https://bob.example.com/"), ("carol", "webhook", None, "https://open.example.com/"), ("dave", "webhook", None, "https://10.0.0.1/"), ("alice", "crypto", bytearray(KEY), None)], "approver_id string, mode string, shared_secret binary, webhook_url string")
+    return services.ask_webhooks(facade.payments(spark, sf), approvers, _approver_service, wait=0.0).select("payment_id", "approver_id", "approved", "reason")
+
+
+def _signer():
+    def sign(payment: dict) -> str:
+        if payment["payment_id"] % 10 == 0:
+            raise RuntimeError("no funds")
+        return f"{payment['pay_to']}:{payment['amount']}"
+
+    return sign
+
+
+@query("SELECT event_id AS payment_id, CASE WHEN value <= 100 AND event_id % 10 <> 0 THEN '0x' || (user_id % 7) || ':' || value END AS token, CASE WHEN value <= 100 AND event_id % 10 = 0 THEN 'RuntimeError: no funds' END AS signing_error FROM events")
+def signed_payments(spark, sf):
+    return services.sign(facade.payments(spark, sf), _signer, F.col("amount_usd") <= 100).select("payment_id", "token", "signing_error")
+
+
+def _server():
+    """A stand-in for a server: some pages cost something, which the payment's token settles."""
+
+    def get(url: str, body: bytes, headers: dict[str, str]):
+        n = int(url.rpartition("/")[2])
+        if n % 7 == 0:
+            return 500, {}, b""
+        if n % 3 == 0 and headers.get("X-PAYMENT") != f"0x{n % 7}:0.{n % 9}":
+            offer = {"scheme": "exact", "network": "base", "maxAmountRequired": f"0.{n % 9}", "resource": url, "payTo": f"0x{n % 7}"}
+            return 402, {"x-payment": json.dumps({"accepts": [offer] if n % 5 else []})}, b"pay first"
+        return 200, {}, f"page {n}".encode()
+
+    return get
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'unavailable' WHEN event_id % 3 = 0 AND event_id % 5 = 0 THEN 'no_offers' WHEN event_id % 3 = 0 AND event_id % 10 = 0 THEN 'RuntimeError: no funds' END AS error,
+ CASE WHEN event_id % 7 <> 0 AND (event_id % 3 <> 0 OR event_id % 5 <> 0) THEN 'page ' || event_id END AS body FROM events""")
+def paid_requests(spark, sf):
+    """A client's round: ask, read the offer, sign, ask again with the token."""
+    asked = facade.table(spark, sf, "events").select("event_id", F.concat(F.lit("https://shop.example.com/"), "event_id").alias("url"))
+    first = services.fetch(asked, _server, wait=0.0)
+    due = payments.payment_requests(first).select("event_id", "url", payments.parse_header(F.col("x_payment")).alias("h")).select("event_id", "url", "h.*").withColumn("payment_id", F.col("event_id"))
+    signed = services.sign(due, _signer, F.col("header_error").isNull())
+    paid = services.fetch(signed.select("event_id", F.when(F.col("token").isNotNull(), F.col("url")).alias("url"), "header_error", "signing_error", "token"), _server, token="token", wait=0.0)
+    paid = paid.select("event_id", F.coalesce("header_error", "signing_error", "error").alias("error"), "body")
+    free = first.where("http_status is null or http_status <> 402").select("event_id", "error", "body")
+    return free.unionByName(paid)
+
+
 # ---------------------------------------------------------------- audit
 
 
@@ -559,7 +667,7 @@ def webhook_check(spark, sf):
 PAYLOAD_SQL = "'{\"agent_id\":\"' || user_id || '\",\"amount_usd\":\"' || printf('%.6f', value) || '\",\"network\":\"base\",\"resource_url\":\"https://x.example.com/\\u00e9/' || user_id || '\"}'"
 
 
-@query(f"SELECT event_id, {PAYLOAD_SQL} AS payload, 'sha256=' || {hmac_sql(PAYLOAD_SQL)} AS signature, substr({hmac_sql(PAYLOAD_SQL)}, 1, 16) AS short_id FROM events")
+@query(f"SELECT event_id, {PAYLOAD_SQL} AS payload, {hmac_sql(PAYLOAD_SQL)} AS signature, substr({hmac_sql(PAYLOAD_SQL)}, 1, 16) AS short_id FROM events")
 def approval_payload(spark, sf):
     """What approvers sign, in ASCII, and the header that signs a webhook's body."""
     e = facade.table(spark, sf, "events")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from paywarden.functions import crypto, scalars, urls
 from paywarden.functions.detect import DETECTORS, PATTERNS, STABLE, detect, entities_of, normalise, redact, register_detector, scan_fields
 from paywarden.functions.json_scan import redact_text
-from paywarden.operators import admission, audit, evaluation, payments
+from paywarden.operators import admission, audit, evaluation, payments, services
 from paywarden.plans import pipeline
 from paywarden.plans.registry import KEY, QUERIES
 from paywarden.sources import corpus, files
@@ -313,6 +313,26 @@ def test_events_corpora_and_sinks(spark, tmp_path):
     assert abs(spark.read.json(str(tmp_path / "latency")).first().p50 - statistics.median(times)) < 1e-12
 
 
+def test_services_repeat_once_and_stop_what_is_unsafe(spark):
+    def flaky():  # within the test, so that it is pickled by value
+        seen = {}
+
+        def post(url, body, headers):
+            seen[url] = seen.get(url, 0) + 1
+            if url == "down":
+                raise ConnectionError
+            status = 500 if url.startswith("http-") else 503 if seen[url] == 1 else 200
+            return status, {}, str(seen[url]).encode()
+
+        return post
+
+    df = spark.createDataFrame([("https://a",), ("http-500",), ("down",), (None,)], "u string").coalesce(1)
+    asked = {r.u: (r.error, r.status, r.body) for r in services.call(df, flaky, F.col("u"), F.lit("x"), wait=0.0).collect()}
+    assert asked == {"https://a": (None, 200, "2"), "http-500": ("unavailable", 500, None), "down": ("unreachable", None, None), None: (None, None, None)}
+    with pytest.raises(ValueError):
+        services.remote_screen(df, flaky, "http://screen.example.com", "key")
+
+
 def test_keys_from_configuration(spark):
     spark.conf.set("spark.paywarden.test.key", "00ff" * 16)
     assert files.key_from_conf(spark, "spark.paywarden.test.key", exact=32) == b"\x00\xff" * 16
