@@ -27,7 +27,7 @@ HYPHENS = "‐‑‒–—−﹘﹣－"
 # ---- end of fixed values -----------------------------------------------------------------------------------------
 
 #: A cheap necessary condition of each pattern, tested before the pattern itself.
-NEEDS = {"EMAIL_ADDRESS": "@"} | {t: "[0-9]" for t in PATTERNS if t != "EMAIL_ADDRESS"}
+NEEDS = {"EMAIL_ADDRESS": "@", "US_SSN": "[0-9]{4}", "CREDIT_CARD": "[0-9]{13}", "PHONE_NUMBER": "[0-9]{4}", "IBAN_CODE": "[A-Z]{2}[0-9]{2}", "IP_ADDRESS": r"[0-9]\.[0-9]"}
 DEFAULT_TEMPLATE = "<REDACTED>"
 ENTITY = "array<struct<start:int,rank:int,end:int,entity_type:string,original_text:string>>"
 
@@ -88,8 +88,8 @@ def detect(text: Column, entities: Sequence[str] | None = None) -> Column:
     active = [t for t in PATTERNS if entities is None or t in entities]
     if not active:
         return F.array().cast(ENTITY)
-    needs = "[" + "".join(sorted({NEEDS[t].strip("[]") for t in active})) + "]"  # one look tells most texts apart
-    return F.coalesce(F.when(text.rlike(needs), resolve(F.concat(*[spans(text, t) for t in active]))), F.array().cast(ENTITY))
+    look = "[" + "".join(sorted({"@" if t == "EMAIL_ADDRESS" else "0-9" for t in active})) + "]"  # one look tells most texts apart
+    return F.coalesce(F.when(text.rlike(look), resolve(F.concat(*[spans(text, t) for t in active]))), F.array().cast(ENTITY))
 
 
 def redact(text: Column, entities: Column, template: str = DEFAULT_TEMPLATE) -> Column:

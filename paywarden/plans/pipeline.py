@@ -63,6 +63,7 @@ def decide(
         df = df.withColumn("__url", F.col("clean_resource_url"))
     else:
         df = df.withColumn("__url", F.col("resource_url"))
+    requests = df.select("payment_id", "ts", "amount_usd", "network", "agent_id", "__url")  # approvals meet these, not what the folds made of them
     stop = (F.size("pii_types") > 0) if pii_action == "block" else F.lit(False)
     df = wallet_check(df.withColumn("__pii", stop), trusted, url="__url")
     early = F.when(F.col("error").isNotNull(), "payment_error").when(F.col("__pii"), "pii_blocked").when(~F.col("wallet_ok"), "wallet_blocked")
@@ -76,7 +77,7 @@ def decide(
         df = df.withColumns({"approvals_received": F.lit(None).cast("long"), "mpa_verdict": F.lit(None).cast("string")})
     else:
         signed = crypto.canonical_approval(F.col("__url"), F.col("amount_usd"), F.col("network"), F.col("agent_id"), ascii_only=False)
-        df = quorum(df, approvals, approvers, threshold, min_amount_usd, signed, timeout_seconds, "__alive")
+        df = quorum(df, approvals, approvers, threshold, min_amount_usd, signed, timeout_seconds, "__alive", requests)
     last = F.when(F.col("mpa_verdict") == "denied", "mpa_blocked").when(F.col("mpa_verdict") == "timeout", "mpa_timeout").otherwise("allowed")
     return df.withColumn("verdict", F.coalesce("verdict", last)).drop("__pii", "__url", "__alive")
 
