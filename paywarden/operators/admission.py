@@ -96,16 +96,16 @@ class Budget:
         return "allowed", None
 
 
-def budget_decisions(payments: DataFrame, policy: Policy, agent: str = "agent_id", ts: str = "ts", seq: str = "seq", amount: str = "amount_usd", url: str = "resource_url", alive: Column | None = None) -> DataFrame:
+def budget_decisions(payments: DataFrame, policy: Policy, agent: str = "agent_id", ts: str = "ts", seq: str = "seq", amount: str = "amount_usd", url: str = "resource_url", alive: Column | None = None, dealt: bool = False) -> DataFrame:
     """payments with policy_verdict and policy_limit_usd; decided greedily in order of (ts, seq) for each agent.
 
-    alive: rows for which it is false get nulls and have no effect, as they were stopped before.
+    alive: rows for which it is false get nulls and have no effect, as they were stopped before. dealt: see ordered_fold.
 
     An amount that is null, not finite or negative is `invalid_amount`, a null time `invalid_time`: not recorded, so
     it has no effect on other payments. One agent's payments are decided by one task, as each depends on those before.
     """
     df = payments.withColumns({"__at": F.unix_micros(F.col(ts).cast("timestamp")), "__endpoint": urls.longest_prefix(F.col(url), list(policy.per_endpoint)), "__usd": F.col(amount).cast("double"), "__alive": alive if alive is not None else F.lit(True)})
-    out = ordered_fold(df, agent, ["__at", seq], ["__at", "__usd", "__endpoint", "__alive"], lambda: Budget(policy), Budget.decide, "policy_verdict string, policy_limit_usd double")
+    out = ordered_fold(df, agent, ["__at", seq], ["__at", "__usd", "__endpoint", "__alive"], lambda: Budget(policy), Budget.decide, "policy_verdict string, policy_limit_usd double", dealt)
     return out.drop("__at", "__endpoint", "__usd", "__alive")
 
 
@@ -152,9 +152,14 @@ def wallet_check(payments: DataFrame, trusted: DataFrame, url: str = "resource_u
     return out.withColumn("wallet_ok", F.col("__listed").isNull() | F.coalesce("__pair", F.lit(False))).drop("__origin", "__listed", "__wallet", "__pair")
 
 
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows, as configuration tables do; else as it is, to be joined by shuffles."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def is_small(df: DataFrame, most: int = 100_000) -> bool:
+    """Whether df has at most `most` rows, as configuration tables do."""
+    return df.limit(most + 1).count() <= most
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it is small; else as it is, to be joined by shuffles."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def valid_votes(approvals: DataFrame, approvers: DataFrame, body: str) -> DataFrame:

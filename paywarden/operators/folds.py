@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ordered_fold(df: DataFrame, key: str, order: list[str], inputs: list[str], start: Callable[[], object], step: Callable, outputs: str) -> DataFrame:
-    """df with columns of `outputs` (DDL) from step(state, *inputs) -> tuple, over the rows of each key in order."""
+def ordered_fold(df: DataFrame, key: str, order: list[str], inputs: list[str], start: Callable[[], object], step: Callable, outputs: str, dealt: bool = False) -> DataFrame:
+    """df with columns of `outputs` (DDL) from step(state, *inputs) -> tuple, over the rows of each key in order.
+
+    dealt: the caller has repartitioned df by the key, and nothing since has moved rows to other partitions.
+    """
     names = [x.split()[0] for x in outputs.split(", ")]
     kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_()}
     types = [kinds[x.split()[1]] for x in outputs.split(", ")]
@@ -31,4 +34,4 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], inputs: list[str], s
             cols = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(list(c), t) for c, t in zip(cols, types)]], [*b.schema.names, *names])
 
-    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(run, f"{schema}, {outputs}")
+    return (df if dealt else df.repartition(F.col(key))).sortWithinPartitions(key, *order).mapInArrow(run, f"{schema}, {outputs}")

@@ -14,7 +14,7 @@ from ..functions import crypto, scalars
 from ..functions.detect import STABLE, entities_of, normalise, redact, scan_fields
 from ..functions.json_scan import scan_json
 from ..operators import audit
-from ..operators.admission import Policy, budget_decisions, quorum, replay_decisions, wallet_check
+from ..operators.admission import Policy, budget_decisions, is_small, quorum, replay_decisions, wallet_check
 
 VERDICTS = ("payment_error", "pii_blocked", "wallet_blocked", "policy_blocked", "replay_blocked", "mpa_blocked", "mpa_timeout", "allowed")
 FIELDS = ("resource_url", "description", "reason")
@@ -57,18 +57,17 @@ def decide(
     if pii_action not in ACTIONS:
         raise ValueError(f"pii_action is one of {', '.join(ACTIONS)}")
     bad = F.coalesce(scalars.amount_error(F.col("amount"), F.col("currency")), F.when(F.col("ts").isNull(), F.lit("invalid_time")))
-    df = payments.withColumns({"error": bad, "amount_usd": scalars.amount_usd(F.col("amount"), F.col("currency"))})
-    df = screen(df, detector, min_score)
-    if pii_action == "redact":
-        df = df.withColumn("__url", F.col("clean_resource_url"))
-    else:
-        df = df.withColumn("__url", F.col("resource_url"))
-    requests = df.select("payment_id", "ts", "amount_usd", "network", "agent_id", "__url")  # approvals meet these, not what the folds made of them
+    rows = payments.withColumns({"error": bad, "amount_usd": scalars.amount_usd(F.col("amount"), F.col("currency"))})
+    url = F.col("clean_resource_url") if pii_action == "redact" else F.col("resource_url")
+    screened = lambda rows: screen(rows, detector, min_score).withColumn("__url", url)
+    few = is_small(trusted)  # then wallets are told without moving payments, which go to their agent's partition before they grow
+    df = screened(rows.repartition(F.col("agent_id")) if few else rows)
+    requests = screened(rows).select("payment_id", "ts", "amount_usd", "network", "agent_id", "__url")  # approvals meet these, not what the folds make of them
     stop = (F.size("pii_types") > 0) if pii_action == "block" else F.lit(False)
     df = wallet_check(df.withColumn("__pii", stop), trusted, url="__url")
     early = F.when(F.col("error").isNotNull(), "payment_error").when(F.col("__pii"), "pii_blocked").when(~F.col("wallet_ok"), "wallet_blocked")
     alive = F.col("verdict").isNull()
-    df = budget_decisions(df.withColumn("verdict", early), policy, url="__url", alive=alive)
+    df = budget_decisions(df.withColumn("verdict", early), policy, url="__url", alive=alive, dealt=few)
     df = df.withColumn("verdict", F.coalesce("verdict", F.when(F.col("policy_verdict") != "allowed", "policy_blocked")))
     mark = crypto.fingerprint(F.col("resource_url"), F.col("pay_to"), F.col("amount"), F.col("currency"), F.col("deadline_seconds"), key)
     df = replay_decisions(df.withColumn("replay_fingerprint", mark), ttl_seconds, alive=alive)
