@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,9 +43,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     out = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(out)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    _made.append(out)
     return out
 
 
+def made() -> int:
+    """How many paths new_path has given; see clear."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Remove what was stored since made() said so, but for `keep`: for callers that have written a result and read no frame of that time again."""
+    for out in _made[since:]:
+        if out not in keep:
+            path = spark._jvm.org.apache.hadoop.fs.Path(out)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made[since:] = [x for x in _made[since:] if x in keep]
+
+
 def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
