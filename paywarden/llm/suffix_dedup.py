@@ -404,14 +404,12 @@ def repeated_marks(rows: DataFrame, text: str = "text", width: int = 200, most:
     pieces = distinct.join(bodies, "rid").select("key", "r", "c", "rid", "lo", "len", "po", F.substring("body", F.col("lo") + 1, F.col("len") + width).alias("content"))
     pieces = store(pieces.withColumns({"oa": F.lit(0), "ob": F.lit(width - GRAM)}), "pieces")
     while True:
-        sizes = pieces.groupBy("key").count()
-        hot = sizes.where(F.col("count") > most).select("key")
-        hot = store(pieces.join(hot, "key", "left_semi"), "hot")
+        hot = store(pieces.groupBy("key").count().where(F.col("count") > most).select("key"), "hot")  # stored, so that joins with it move no key's rows to one task
         if hot.isEmpty():
             marks.append(_sorted_marks(pieces, width))
             break
-        cold = pieces.join(sizes.where(F.col("count") > most).select("key"), "key", "left_anti")
-        marks.append(_sorted_marks(cold, width))
+        marks.append(_sorted_marks(pieces.join(hot, "key", "left_anti"), width))
+        hot = store(pieces.join(hot, "key", "left_semi"), "hot")
         cut = store(_halves(hot, width), "halves")
         alike = cut.groupBy("key", "r").agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.min(F.struct("rid", "lo", "len", "po", "content", "oa", "ob")).alias("at"))
         alike = store(alike.select("key", "r", "c", "n", "at.*"), "alike")
