@@ -386,7 +386,7 @@ def _repeated(rows: DataFrame, counts: DataFrame, on: list[str], n: str) -> Data
     return rows.join(large, on, "left_semi").unionByName(rows.join(large, on, "left_anti").join(rest, on, "left_semi"))
 
 
-def repeated_marks(rows: DataFrame, text: str = "text", width: int = 200, most: int = 2000) -> DataFrame:
+def repeated_marks(rows: DataFrame, text: str = "text", width: int = 200, most: int = 1000) -> DataFrame:
     """(rid, lo, hi): windows lo..hi of row rid start a string of `width` bytes that starts elsewhere too."""
     met = store(occurrences(rows, text, width), "regions")
     shards = (
