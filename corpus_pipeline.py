@@ -48,7 +48,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each class of near-duplicates (Jaccard >= 0.8 of five-word shingles).
 
-    By simhash's operator, which takes its candidates from MinHash bands: see there, and the README, why.
+    By simhash's operator: tries over long fingerprints give candidates, whole shingle sets decide.
     """
     return simhash.drop_near_duplicates(docs)
 
@@ -82,7 +82,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language ID", language),
-    ("MinHash near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("suffix-array dedup", repeats),
     ("PII", personal_data),
     ("packing", packed),

@@ -1,19 +1,11 @@
 """Near-duplicates by Jaccard similarity of word-shingle sets: MinHash bands find candidates, whole sets decide.
 
+An operator of its own; the pipeline's stage takes its candidates from SimHash's tries (simhash.similar_classes).
+
 A set's signature is ROWS * BANDS minima; two sets that agree in all rows of a band are candidates. At similarity s a
 pair is missed with chance (1 - s**6)**32: 6e-5 at 0.8, 5e-7 at 0.85, less above. Equal sets are folded first. The
-candidates' connected components (stars per band, never pairs) say which sets may be linked at all; only their texts
-are read again, and within a component sets are joined exactly (a link needs a common shingle among the rarest
-1 - s of either set, then both whole sets are compared), so no link rests on an estimate.
-
-Hot components: in one above `chunk` shingles some pivots are compared with all members, dealt over many tasks, and those
-linked to one are settled. Pivots that share a linked member are one class, whose members need no comparing among
-themselves. That goes on with further pivots while much is left. What is left, and each class, is cut in chunks, and each pair of chunks but those within a class is a
-group of its own, so a task holds at most two chunks (or two texts, where those are longer). So a group of near copies
-of one text, however large, costs in proportion to its size. Nothing is dropped.
-
-Defined cases: a text of fewer words than a shingle is one shingle; null, empty and white-space texts have the empty
-set, which is equal to itself and like no other.
+candidates' connected components (stars per band, never pairs) say which sets may be linked at all; shingle_sets joins
+those exactly.
 """
 
 from __future__ import annotations
@@ -23,10 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, find_roots, group_edges, let_go, slices, store, unite, whole_groups
+from .common import components, let_go, slices, store
+from .shingle_sets import set_classes, shingles
 
 ROWS, BANDS = 6, 32
 _rng = np.random.default_rng(20)
@@ -34,22 +27,6 @@ FACTORS = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1
 SHIFTS = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
 
 
-def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles: ASCII lower case, white-space words."""
-    parts = text.lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(parts)
-    digest = xxhash.xxh64_intdigest
-    n = len(parts) - words + 1
-    if n <= 1:
-        return np.array([digest(joined, seed)], np.uint64)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-    ends = np.cumsum(sizes) - 1
-    starts = ends - sizes + 1
-    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())), np.uint64, n))
-
-
 def bands(hashes: np.ndarray) -> np.ndarray:
     """A key (signed long) for each band of a set's signature."""
     h = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -82,181 +59,6 @@ def signatures(docs: DataFrame, text: str, keep: tuple[str, ...], words: int) ->
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "set", "n", "bands")
 
 
-def link_sets(flat: np.ndarray, edges: np.ndarray, least: float, label: np.ndarray | None = None) -> np.ndarray:
-    """A label per set (sets are runs of flat, cut at edges): equal where links of similarity >= least join them.
-
-    label: what is known before; sets of equal labels are not compared with each other.
-    """
-    g, sizes = len(edges) - 1, np.diff(edges)
-    label = np.arange(g) if label is None else label.copy()
-    _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
-    whose = np.repeat(np.arange(g), sizes)
-    token = rank[token]
-    token = token[np.lexsort((token, whose))]  # rare shingles first in each set
-    first = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
-    head = np.arange(len(token)) - edges[whose] < first[whose]
-    by = np.argsort(token[head], kind="stable")
-    heads, owner = token[head][by], whose[head][by]
-    begin, end = np.searchsorted(heads, np.arange(len(count))), np.searchsorted(heads, np.arange(len(count)), side="right")
-    mark = np.zeros(len(count), bool)
-    for i in range(g):
-        own = token[edges[i] : edges[i + 1]]
-        runs = [owner[begin[t] : end[t]] for t in own[: first[i]].tolist() if end[t] - begin[t] > 1]
-        if not runs:
-            continue
-        js = np.unique(np.concatenate(runs))
-        js = js[(js > i) & (label[js] != label[i]) & (np.minimum(sizes[js], sizes[i]) >= least * np.maximum(sizes[js], sizes[i]) - 1e-9)]
-        if not len(js):
-            continue
-        mark[own] = True
-        for part in np.array_split(js, -(-len(js) // 256)):
-            n = sizes[part]
-            upto = np.cumsum(n)
-            at = np.repeat(edges[part] - (upto - n), n) + np.arange(upto[-1])
-            both = np.add.reduceat(mark[token[at]].astype(np.int64), upto - n)
-            for j in part[both >= least * (n + sizes[i] - both) - 1e-9].tolist():
-                if label[j] != label[i]:
-                    label[label == label[j]] = label[i]
-        mark[own] = False
-    return label
-
-
-SETS = "root long, set long, n long, h binary, mate long"
-
-
-def _weight():
-    """A set's shingles, at least 512, so that a chunk also has at most chunk / 512 sets."""
-    return F.greatest("n", F.lit(512))
-
-
-def _round(open_: DataFrame, hot: DataFrame, least: float) -> DataFrame:
-    """open_ rows of hot(root, pivots, parts) with links: the pivots that a set is linked to, itself included if it is one.
-
-    A root's rows are dealt in parts, and each part gets the pivots' sets once, before its rows.
-    """
-    mine = open_.join(hot, "root")
-    first = store(mine.where(F.array_contains("pivots", F.col("set"))).select("root", "parts", "set", "h"), "pivots")
-    first = first.select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("turn"), "set", F.lit(0).cast("long").alias("n"), "h")
-    rows = mine.select("root", F.pmod(F.xxhash64("set", F.lit("part")), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("turn"), "set", "n", "h")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        held, pivots = None, []
-        for b in batches:
-            out = []
-            names, sets = b.column("set").to_pylist(), b.column("h")
-            keys = list(zip(b.column("root").to_pylist(), b.column("part").to_pylist()))
-            for i, turn in enumerate(b.column("turn").to_pylist()):
-                own = np.frombuffer(sets[i].as_buffer(), np.uint64)
-                if keys[i] != held:
-                    held, pivots = keys[i], []
-                if turn == 0:
-                    pivots.append((names[i], own.copy()))
-                else:
-                    out.append((i, sorted(name for name, p in pivots if _alike(own, p, least))))
-            if out:
-                at, links = zip(*out)
-                yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(at)) for c in ("root", "set", "n", "h")], pa.array(links, pa.list_(pa.int64()))], ["root", "set", "n", "h", "links"])
-
-    n = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = first.unionByName(rows).repartition(n, "root", "part").sortWithinPartitions("root", "part", "turn")
-    return store(dealt.mapInArrow(run, "root long, set long, n long, h binary, links array<long>"), "round")
-
-
-def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether two sets, as sorted distinct numbers, have a similarity of at least `least`."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9 or not len(b):
-        return False
-    both = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
-    return both >= least * (len(a) + len(b) - both) - 1e-9
-
-
-def _settle(open_: DataFrame, least: float, chunk: int, rounds: int, pivots: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(the rows with `class`, edges): sets linked to a pivot are in the class of all pivots that shared sets join; null is open."""
-    columns, settled = open_.columns, None
-    for i in range(rounds):
-        picked = F.transform(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("set", F.lit(i)).alias("x"), "set"))), 1, pivots), lambda p: p["set"])
-        hot = open_.groupBy("root").agg(F.sum(_weight()).alias("w"), F.count("*").alias("rows")).where(F.col("w") > chunk)
-        hot = store(hot.select("root", "rows", F.ceil(F.col("w") / chunk).cast("int").alias("parts")), "hot")
-        if hot.isEmpty():
-            break
-        few = F.pmod(F.xxhash64("set", F.lit(f"p{i}")), F.lit(1 << 30)) <= F.lit(4 * pivots * (1 << 30)) / F.col("rows")  # a sample of about 4 * pivots
-        hot = store(open_.join(hot, "root").where(few).groupBy("root", "parts").agg(picked.alias("pivots")), "pivots")
-        met = _round(open_, hot, least)
-        linked = met.where(F.size("links") > 0)
-        settled = linked if settled is None else settled.unionByName(linked)
-        rest = met.where(F.size("links") == 0).withColumn("mate", F.col("set"))
-        open_ = store(rest.select(*columns).unionByName(open_.join(hot, "root", "left_anti").select(*columns)), "open")
-    if settled is None:
-        return open_.withColumn("class", F.lit(None).cast("long")), None
-    pairs = settled.where(F.size("links") > 1).select(F.explode(F.transform(F.slice("links", 2, pivots), lambda v: F.struct(v.alias("u"), F.get("links", F.lit(0)).alias("v")))).alias("e")).select("e.*").distinct()
-    joined = components(pairs)  # of pivots
-    settled = _classed(settled, joined)
-    rows = store(open_.withColumn("class", F.lit(None).cast("long")).unionByName(settled.select(*columns, "class")), "settled")
-    edges = rows.where("class is not null and set <> class").select(F.col("set").alias("u"), F.col("class").alias("v"))
-    return rows, edges
-
-
-def _classed(settled: DataFrame, joined: DataFrame) -> DataFrame:
-    """settled with mate, and class: the least pivot of those that shared sets join to the row's first one."""
-    of = joined.select(F.col("node").alias("p"), F.col("root").alias("q"))
-    out = settled.withColumn("first", F.get("links", F.lit(0)))
-    return out.join(of, F.col("first") == F.col("p"), "left").withColumn("class", F.coalesce("q", "first")).withColumn("mate", F.col("class"))
-
-
-def _chunks(rows: DataFrame, chunk: int) -> DataFrame:
-    """rows once for each pair of chunks of their root that they are in, but for pairs within a class."""
-    per = rows.groupBy("root", "class").agg(F.ceil(F.sum(_weight()) / chunk).cast("int").alias("m"))  # as many as there were rounds, and one
-    root = Window.partitionBy("root")
-    per = per.withColumn("at", F.sum("m").over(root.orderBy("class").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).withColumn("all", F.sum("m").over(root))
-    per = store(per.select(F.col("root").alias("r"), F.col("class").alias("c"), "m", "at", "all"), "chunks")
-    out = rows.join(per, (rows["root"] == per["r"]) & rows["class"].eqNullSafe(per["c"]))
-    out = out.withColumn("own", F.col("at") + F.pmod(F.xxhash64("set"), F.col("m")))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda o: F.col("class").isNull() | (o < F.col("at")) | (o >= F.col("at") + F.col("m")))
-    out = out.withColumn("other", F.explode(others))
-    return out.select("set", "h", "mate", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("grp"))
-
-
-def set_links(texts: DataFrame, words: int, least: float, chunk: int, rounds: int = 6) -> DataFrame:
-    """Edges (u, v) that span the components of texts(root, set, n, t), which are linked within a root only."""
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        for whole in batches:
-            for b in slices(whole, "t"):
-                sets = [shingles(x or b"", words).tobytes() for x in b.column("t").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("root"), b.column("set"), b.column("n"), pa.array(sets, pa.binary()), b.column("set")], ["root", "set", "n", "h", "mate"])
-
-    sets = store(texts.select("root", "set", "n", "t").mapInArrow(hashes, SETS), "sets")
-    hot = sets.groupBy("root").agg(F.sum(_weight()).alias("w")).where(F.col("w") > chunk)
-    hot = store(hot.select("root"), "hot")  # joins with a stored side can be split where a key is hot
-    dealt, found = sets.join(hot, "root", "left_anti").select("set", "h", "mate", F.xxhash64("root").alias("grp")), None
-    if not hot.isEmpty():
-        rows, found = _settle(sets.join(hot, "root", "left_semi"), least, chunk, rounds)
-        dealt = dealt.unionByName(_chunks(rows, chunk))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        for t in whole_groups(batches, "grp", 1 << 20, lambda b: b.nbytes // 8):
-            keys, names, mates, column = t.column("grp").to_numpy(), t.column("set").to_numpy(), t.column("mate").to_numpy(), t.column("h").combine_chunks()
-            parent = np.arange(len(keys))
-            edges = group_edges(keys)
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if b - a > 1:
-                    held = [np.frombuffer(x, np.uint64) for x in column.slice(a, b - a).to_pylist()]
-                    _, first, of = np.unique(mates[a:b], return_index=True, return_inverse=True)
-                    label = link_sets(np.concatenate(held), np.concatenate([[0], np.cumsum([len(x) for x in held])]), least, first[of])
-                    parent = unite(parent, np.arange(a, b), a + label)
-            child = np.flatnonzero(find_roots(parent) != np.arange(len(parent)))
-            yield pa.RecordBatch.from_arrays([pa.array(names[child]), pa.array(names[parent[child]])], ["u", "v"])
-
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = dealt.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(run, "u long, v long")
-    return out if found is None else out.unionByName(found)
-
-
 def near_classes(docs: DataFrame, rid: str, text: str = "text", keep: tuple[str, ...] = (), words: int = 5, least: float = 0.8, chunk: int = 1 << 19) -> DataFrame:
     """(rid, *keep, root) of each row; rows whose sets are joined by links of similarity >= least have the same root. rid is unique and the same at each scan."""
     rows = store(signatures(docs, text, (rid, *keep), words), "signatures")
@@ -264,8 +66,4 @@ def near_classes(docs: DataFrame, rid: str, text: str = "text", keep: tuple[str,
     keyed = one.select("set", F.explode("bands").alias("band"))
     shared = store(keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("set").alias("v")).where("n > 1").select("band", "v"), "shared")
     maybe = components(keyed.join(shared, "band").select(F.col("set").alias("u"), "v"))
-    maybe = store(one.join(maybe, one.set == maybe.node).select("rid", "set", "n", "root"), "candidates")
-    texts = docs.select(F.col(rid).alias("rid"), F.col(text).alias("t")).join(maybe, "rid").select("root", "set", "n", "t")
-    roots = components(set_links(store(texts, "texts"), words, least, chunk))
-    of = store(one.join(roots, one.set == roots.node, "left").select("set", F.coalesce("root", "set").alias("root")), "of")
-    return rows.join(of, "set").select(rid, *keep, "root")
+    return set_classes(docs, rows, one, maybe, rid, text, keep, words, least, chunk)

@@ -228,6 +228,59 @@ def test_near_duplicates_reach_their_similarity(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [i for i in ids if root[i] == i]
 
 
+def test_pipeline_near_duplicates_come_from_fingerprints(spark, monkeypatch):
+    """Pairs of similarity 0.8 and near copies are found by SimHash's tries; without their links only copies are."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        n = rng.choice([44, 84, 404])  # n - 4 shingles, of which a changed end of k words leaves 8 of 10 of the union
+        w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(w[: n - (n - 4) // 9] + [f"y{k}" for k in range((n - 4) // 9)])), (3 * i + 2, "  ".join(w).upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def other(*_, **__):
+        raise AssertionError("not the method named")
+
+    monkeypatch.setattr(minhash, "near_classes", other)
+    kept = lambda: sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert kept() == [3 * i for i in range(40)]
+    links = simhash.wide_links
+    monkeypatch.setattr(simhash, "wide_links", lambda *a, **k: links(*a, **k).limit(0))
+    assert kept() == [i for i, _ in rows if i % 3 < 2]
+
+
+@pytest.mark.parametrize("n", [1000, 256_410, 15_000_000])
+def test_wide_tables_hold_pairs_at_their_similarity(n):
+    """Fingerprints of two sets of similarity 0.8 share a key and keep the limits after it, in one table or more."""
+    rng = np.random.default_rng(9)
+    bits, tables, words = simhash.wide_layout(n)
+    a = rng.integers(0, 1 << 63, (2000, words), dtype=np.int64).astype(np.uint64)
+    diff = np.packbits(rng.random((2000, 64 * words)) < 0.152, axis=1).view(">u8").astype(np.uint64)
+    found = np.zeros(len(a), bool)
+    for i in range(tables):
+        x, y = ([simhash._window(v, i * bits + at) for at in (0, bits, bits + 64)] for v in (a, a ^ diff))
+        count = np.stack([np.bitwise_count((x[1] ^ y[1]) >> np.uint64(63 - k)) for k in range(64)], axis=1)
+        found |= ((x[0] ^ y[0]) >> np.uint64(64 - bits) == 0) & (count <= simhash.walk_limits()).all(axis=1) & (count[:, -1] + np.bitwise_count(x[2] ^ y[2]) <= 35)
+    assert found.sum() >= 1998
+
+
+def test_hot_shards_of_wide_fingerprints(spark):
+    """Near copies in shards above `chunk`, among strangers: the same components as in whole shards."""
+    rng = np.random.default_rng(10)
+    base = rng.random((3, 256)) < 0.5
+    near = base[np.arange(180) % 3] ^ (rng.random((180, 256)) < 0.05)
+    cells = np.packbits(np.concatenate([near, rng.random((60, 256)) < 0.5]), axis=1)
+    prints = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(cells)], "set long, wide binary")
+    for chunk in (1 << 13, 20):
+        e = [(r.u, r.v) for r in simhash.wide_links(prints, 4, 16, chunk).collect()]
+        root = list(range(240))
+        for u, v in e:
+            root = [min(root[u], root[v]) if r in (root[u], root[v]) else r for r in root]
+        assert root == [i % 3 if i < 180 else i for i in range(240)]
+
+
 @pytest.mark.parametrize("chunk", [1 << 20, 2000])
 def test_near_sets_in_chunks(spark, chunk):
     rng = random.Random(4)
