@@ -52,13 +52,13 @@ def made() -> int:
     return len(_made)
 
 
-def clear(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
-    """Remove what was stored since made() said so, but for `keep`: for callers that have written a result and read no frame of that time again."""
-    for out in _made[since:]:
+def clear(spark: SparkSession, since: int, keep: tuple[str, ...] = (), upto: int | None = None) -> None:
+    """Remove what was stored since made() said so (until it said `upto`), but for `keep`: for callers that have written a result and read no frame of that time again."""
+    for out in _made[since:upto]:
         if out not in keep:
             path = spark._jvm.org.apache.hadoop.fs.Path(out)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _made[since:] = [x for x in _made[since:] if x in keep]
+    _made[since:upto] = [x for x in _made[since:upto] if x in keep]
 
 
 def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -107,6 +107,23 @@ def with_row_id(df: DataFrame, name: str = "rid", most_files: int = 20_000) -> D
     return out.join(F.broadcast(numbers), file).withColumn(name, F.shiftleft(no, 40) + F.col(row)).drop(file, row, no)
 
 
+def keep_rows(df: DataFrame, marks: DataFrame, rid: str, but: bool = False, most: int = 1 << 20) -> DataFrame:
+    """Rows of df whose `rid` (see with_row_id) is among those of marks, or with `but` is not; wide rows are not dealt out for it.
+
+    The broadcast side has a bit per row, 64 to a word. Above `most` words (64 million rows where all words are in use)
+    it is a plain join.
+    """
+    word, bits = free_name(df, "word"), free_name(df, "bits")
+    of = lambda c: F.shiftright(F.col(c), 6)
+    bit = F.expr(f"shiftleft(1L, cast(`{rid}` & 63 as int))")
+    words = store(marks.groupBy(of(rid).alias(word)).agg(F.bit_or(bit).alias(bits)), "words")
+    if words.count() > most:
+        return df.join(marks.select(rid).distinct(), rid, "left_anti" if but else "left_semi").select(*df.columns)
+    here = df.join(F.broadcast(words), of(rid) == F.col(word), "left")
+    found = F.coalesce(F.col(bits).bitwiseAND(bit), F.lit(0)) != 0
+    return here.where(~found if but else found).select(*df.columns)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Cut a batch where the bytes of a column pass `most`, so that what is made from a slice stays small."""
     if not batch.num_rows:
@@ -180,6 +197,15 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parent
 
 
+def stars(parent: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each name to the least of its class, so that classes found in several places mostly share their centre."""
+    root, least = find_roots(parent), names.copy()
+    np.minimum.at(least, root, names)
+    centre = least[root]
+    child = names != centre
+    return names[child], centre[child]
+
+
 def _stars(e: DataFrame) -> bool:
     """Whether edges (u, v) with u > v are disjoint stars: each u has one v and is no other's v."""
     ends = e.select(F.explode(F.array(*[F.struct(F.col(c).alias("x"), F.lit(up).alias("up")) for c, up in (("u", 1), ("v", 0))])).alias("end"))

@@ -6,9 +6,10 @@ both whole sets are compared), so no link rests on an estimate.
 
 Hot components: in one above `chunk` shingles some pivots are compared with all members, dealt over many tasks, and those
 linked to one are settled. Pivots that share a linked member are one class, whose members need no comparing among
-themselves. That goes on with further pivots while much is left. What is left, and each class, is cut in chunks, and each pair of chunks but those within a class is a
-group of its own, so a task holds at most two chunks (or two texts, where those are longer). So a group of near copies
-of one text, however large, costs in proportion to its size. Nothing is dropped.
+themselves. That goes on with further pivots while much is left and they settle a fair part of it. What is left, and each
+large class, is cut in chunks, small classes share chunks, and each pair of chunks but those within a class is a group of
+its own, so a task holds at most about two chunks (or two texts, where those are longer). So a group of near copies of one
+text, however large, costs in proportion to its size. Nothing is dropped.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null, empty and white-space texts have the empty
 set, which is equal to itself and like no other.
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, find_roots, group_edges, let_go, slices, store, unite, whole_groups
+from .common import components, group_edges, keep_rows, let_go, slices, stars, store, unite, whole_groups
 
 
 def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -134,9 +135,12 @@ def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def settle(open_: DataFrame, alike: Callable[[np.ndarray, np.ndarray], bool], chunk: int, rounds: int = 6, pivots: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(the rows with `class`, edges): sets linked to a pivot are in the class of all pivots that shared sets join; null is open."""
-    columns, settled = open_.columns, None
+def settle(open_: DataFrame, alike: Callable[[np.ndarray, np.ndarray], bool], chunk: int, rounds: int = 6, pivots: int = 16, fair: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(the rows with `class`, edges): sets linked to a pivot are in the class of all pivots that shared sets join; null is open.
+
+    A root of which a round settles less than 1 / fair gets no further pivots: it is no large group of near copies any more.
+    """
+    columns, settled, left = open_.columns, None, []
     for i in range(rounds):
         picked = F.transform(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("set", F.lit(i)).alias("x"), "set"))), 1, pivots), lambda p: p["set"])
         hot = open_.groupBy("root").agg(F.sum(_weight()).alias("w"), F.count("*").alias("rows")).where(F.col("w") > chunk)
@@ -149,7 +153,12 @@ def settle(open_: DataFrame, alike: Callable[[np.ndarray, np.ndarray], bool], ch
         linked = met.where(F.size("links") > 0)
         settled = linked if settled is None else settled.unionByName(linked)
         rest = met.where(F.size("links") == 0).withColumn("mate", F.col("set"))
-        open_ = store(rest.select(*columns).unionByName(open_.join(hot, "root", "left_anti").select(*columns)), "open")
+        going = met.groupBy("root").agg(F.count_if(F.size("links") > 0).alias("found"), F.count("*").alias("rows"))
+        going = store(going.where(F.col("found") * fair >= F.col("rows")).select("root"), "going")
+        left += [open_.join(hot, "root", "left_anti").select(*columns), rest.join(going, "root", "left_anti").select(*columns)]
+        open_ = store(rest.join(going, "root", "left_semi").select(*columns), "open")
+    for part in left:
+        open_ = open_.unionByName(part)
     if settled is None:
         return open_.withColumn("class", F.lit(None).cast("long")), None
     pairs = settled.where(F.size("links") > 1).select(F.explode(F.transform(F.slice("links", 2, pivots), lambda v: F.struct(v.alias("u"), F.get("links", F.lit(0)).alias("v")))).alias("e")).select("e.*").distinct()
@@ -168,14 +177,19 @@ def _classed(settled: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def chunk_pairs(rows: DataFrame, chunk: int) -> DataFrame:
-    """rows once for each pair of chunks of their root that they are in, but for pairs within a class."""
-    per = rows.groupBy("root", "class").agg(F.ceil(F.sum(_weight()) / chunk).cast("int").alias("m"))  # as many as there were rounds, and one
+    """rows once for each pair of chunks of their root that they are in, but for pairs within a class. Classes of up to a quarter of a chunk share chunks."""
+    per = rows.groupBy("root", "class").agg(F.sum(_weight()).alias("w"))  # as many as there were pivots, and one
+    small = F.col("class").isNotNull() & (F.col("w") * 4 <= chunk)
+    per = per.withColumn("m", F.when(small, 0).otherwise(F.ceil(F.col("w") / chunk)).cast("int")).withColumn("s", F.when(small, F.col("w")).otherwise(0))
     root = Window.partitionBy("root")
-    per = per.withColumn("at", F.sum("m").over(root.orderBy("class").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).withColumn("all", F.sum("m").over(root))
-    per = store(per.select(F.col("root").alias("r"), F.col("class").alias("c"), "m", "at", "all"), "chunks")
+    before = root.orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
+    per = per.withColumn("at", F.sum("m").over(before) - F.col("m")).withColumn("bin", F.floor((F.sum("s").over(before) - F.col("s")) / chunk)).withColumn("own", F.sum("m").over(root))
+    per = per.withColumn("all", F.col("own") + F.coalesce(F.max(F.when(small, F.col("bin") + 1)).over(root), F.lit(0)))
+    per = per.withColumn("at", F.when(small, F.col("own") + F.col("bin")).otherwise(F.col("at"))).withColumn("m", F.when(small, 1).otherwise(F.col("m")))
+    per = store(per.select(F.col("root").alias("r"), F.col("class").alias("c"), "m", "at", "all", (small | F.col("class").isNull()).alias("mixed")), "chunks")
     out = rows.join(per, (rows["root"] == per["r"]) & rows["class"].eqNullSafe(per["c"]))
     out = out.withColumn("own", F.col("at") + F.pmod(F.xxhash64("set"), F.col("m")))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda o: F.col("class").isNull() | (o < F.col("at")) | (o >= F.col("at") + F.col("m")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda o: F.col("mixed") | (o < F.col("at")) | (o >= F.col("at") + F.col("m")))
     out = out.withColumn("other", F.explode(others))
     return out.select("set", "h", "mate", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("grp"))
 
@@ -190,12 +204,12 @@ def set_links(texts: DataFrame, words: int, least: float, chunk: int, rounds: in
                 sets = [shingles(x or b"", words).tobytes() for x in b.column("t").cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("root"), b.column("set"), b.column("n"), pa.array(sets, pa.binary()), b.column("set")], ["root", "set", "n", "h", "mate"])
 
-    sets = store(texts.select("root", "set", "n", "t").mapInArrow(hashes, SETS), "sets")
-    hot = sets.groupBy("root").agg(F.sum(_weight()).alias("w")).where(F.col("w") > chunk)
+    sets = lambda t: t.select("root", "set", "n", "t").mapInArrow(hashes, SETS)
+    hot = texts.groupBy("root").agg(F.sum(_weight()).alias("w")).where(F.col("w") > chunk)
     hot = store(hot.select("root"), "hot")  # joins with a stored side can be split where a key is hot
-    dealt, found = sets.join(hot, "root", "left_anti").select("set", "h", "mate", F.xxhash64("root").alias("grp")), None
+    dealt, found = sets(texts.join(hot, "root", "left_anti")).select("set", "h", "mate", F.xxhash64("root").alias("grp")), None
     if not hot.isEmpty():
-        rows, found = settle(sets.join(hot, "root", "left_semi"), lambda a, b: _alike(a, b, least), chunk, rounds)
+        rows, found = settle(store(sets(texts.join(hot, "root", "left_semi")), "sets"), lambda a, b: _alike(a, b, least), chunk, rounds)
         dealt = dealt.unionByName(chunk_pairs(rows, chunk))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,8 +224,7 @@ def set_links(texts: DataFrame, words: int, least: float, chunk: int, rounds: in
                     _, first, of = np.unique(mates[a:b], return_index=True, return_inverse=True)
                     label = link_sets(np.concatenate(held), np.concatenate([[0], np.cumsum([len(x) for x in held])]), least, first[of])
                     parent = unite(parent, np.arange(a, b), a + label)
-            child = np.flatnonzero(find_roots(parent) != np.arange(len(parent)))
-            yield pa.RecordBatch.from_arrays([pa.array(names[child]), pa.array(names[parent[child]])], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(parent, names)], ["u", "v"])
 
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = dealt.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(run, "u long, v long")
@@ -221,7 +234,8 @@ def set_links(texts: DataFrame, words: int, least: float, chunk: int, rounds: in
 def set_classes(docs: DataFrame, rows: DataFrame, one: DataFrame, maybe: DataFrame, rid: str, text: str, keep: tuple[str, ...], words: int, least: float, chunk: int) -> DataFrame:
     """(rid, *keep, root) of `rows`, each of which has a set; `one` has a row per set, `maybe` (node, root) the components of sets that may be linked."""
     maybe = store(one.join(maybe, one.set == maybe.node).select("rid", "set", "n", "root"), "candidates")
-    texts = docs.select(F.col(rid).alias("rid"), F.col(text).alias("t")).join(maybe, "rid").select("root", "set", "n", "t")
+    texts = keep_rows(docs.select(F.col(rid).alias("rid"), F.col(text).alias("t")), maybe, "rid")  # so that only their texts are dealt out
+    texts = texts.join(maybe, "rid").select("root", "set", "n", "t")
     roots = components(set_links(store(texts, "texts"), words, least, chunk))
     of = store(one.join(roots, one.set == roots.node, "left").select("set", F.coalesce("root", "set").alias("root")), "of")
     return rows.join(of, "set").select(rid, *keep, "root")

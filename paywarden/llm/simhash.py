@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, find_roots, flat_bytes, free_name, group_edges, let_go, slices, store, unite, whole_groups, with_row_id
+from .common import clear, components, find_roots, flat_bytes, free_name, group_edges, keep_rows, let_go, made, slices, stars, store, unite, whole_groups, with_row_id
 from .shingle_sets import chunk_pairs, set_classes, settle, shingles
 
 #: How often the bits of two sets of similarity 0.8 differ, at most: arccos(0.8 / 0.9) / pi is 0.152, small sets come to 0.16.
@@ -314,8 +314,7 @@ def wide_links(prints: DataFrame, bits: int, tables: int, chunk: int = 1 << 13,
             for a, b in trie_links(first, group_edges(keys), limits):
                 near = np.bitwise_count(first[a] ^ first[b]) + np.bitwise_count(then[a] ^ then[b]) <= both
                 parent = unite(parent, a[near], b[near])
-            child = np.flatnonzero(find_roots(parent) != np.arange(len(parent)))
-            yield pa.RecordBatch.from_arrays([pa.array(names[child]), pa.array(names[parent[child]])], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(parent, names)], ["u", "v"])
 
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = dealt.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(run, "u long, v long")
@@ -341,9 +340,13 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc
     """
     rid = free_name(docs, "rid")
     rows = with_row_id(docs, rid)
+    since = made()
     plain = rows.select(F.col(rid).alias("rid"), F.col(id_col).alias("id"), F.col(text).alias("t"))
     classes = store(similar_classes(plain, "rid", "t", ("id",), words, similarity), "rows")
     rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("rid").alias("c"))
     best = classes.groupBy("root").agg(F.min(rank).alias("best")).select("root", F.col("best.c").alias("kept"))
-    gone = store(classes.join(store(best, "best"), "root").where("rid <> kept").select(F.col("rid").alias(rid)), "gone")
-    return rows.join(gone, rid, "left_anti").select(*docs.columns)
+    best = store(best, "best")
+    upto = made()
+    gone = store(classes.join(best, "root").where("rid <> kept").select(F.col("rid").alias(rid)), "gone")
+    clear(docs.sparkSession, since, upto=upto)  # all but gone
+    return keep_rows(rows, gone, rid, but=True).select(*docs.columns)

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from paywarden.llm import language_id, media, minhash, packing, pii, piece_codec, simhash, suffix_dedup, url_filter, vector_dedup, warc
+from paywarden.llm import common, language_id, media, minhash, packing, pii, piece_codec, shingle_sets, simhash, suffix_dedup, url_filter, vector_dedup, warc
 from paywarden.llm.queries import BYTES, PIECES
 
 SF = "/root/testdata/sf0.001"
@@ -316,6 +316,44 @@ def test_near_sets_that_a_pivot_does_not_reach(spark, chunk):
     assert len({(r.root, root[r.rid]) for r in got}) == len({r.root for r in got}) == len(set(root)) > 3
 
 
+def test_small_classes_share_chunks(spark):
+    """40 classes of one set, one of 300, 100 open sets: each pair that is to be compared meets, and few copies of rows are made."""
+    of = [*range(40), *[40] * 300, *[None] * 100]
+    rows = spark.createDataFrame([(1, i, 1, b"", c if c is not None else i, c) for i, c in enumerate(of)], "root long, set long, n long, h binary, mate long, class long")
+    out = shingle_sets.chunk_pairs(rows, 64 * 512).collect()
+    assert len(out) < 10 * len(of)
+    groups = {}
+    for r in out:
+        groups.setdefault(r.set, set()).add(r.grp)
+    assert all(groups[i] & groups[j] for i in range(len(of)) for j in range(i) if of[i] is None or of[i] != of[j])
+
+
+def test_near_copies_share_centres(spark):
+    """A group of near copies in 27 tables: far fewer edges than rows times tables."""
+    rng = np.random.default_rng(12)
+    cells = np.packbits((rng.random(256) < 0.5) ^ (rng.random((600, 256)) < 0.03), axis=1)
+    prints = spark.createDataFrame([(int(i), x.tobytes()) for i, x in zip(rng.integers(-(1 << 62), 1 << 62, 600), cells)], "set long, wide binary")
+    edges = {(max(r), min(r)) for r in simhash.wide_links(prints, 6, 27).collect()}
+    assert len(edges) < 10 * 600
+
+
+def test_rows_are_kept_without_dealing_texts_out(spark):
+    ids = [-65, -64, -1, 0, 1, 63, 64, 1 << 40, (1 << 40) + 63]
+    df = spark.createDataFrame([(i, "t") for i in ids], "rid long, word string")
+    marks = spark.createDataFrame([(i,) for i in (-64, 63, 1 << 40, 1 << 40, 7)], "rid long")
+    for most in (1 << 20, 0):
+        assert sorted(r.rid for r in common.keep_rows(df, marks, "rid", most=most).collect()) == [-64, 63, 1 << 40]
+        assert sorted(r.rid for r in common.keep_rows(df, marks, "rid", but=True, most=most).collect()) == [-65, -1, 0, 1, 64, (1 << 40) + 63]
+    before, threshold = common.made(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = simhash.drop_near_duplicates(spark.read.parquet(f"{SF}/documents.parquet"))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert common.made() - before <= 2  # what was stored on the way is removed
+
+
 @pytest.mark.parametrize("groups", [1, 30])
 def test_vectors_of_large_groups(spark, groups):
     rng = np.random.default_rng(7)
