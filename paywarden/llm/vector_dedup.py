@@ -11,11 +11,11 @@ half its rows, or of over twice its rows together) is cut in chunks instead, and
 In a shard, homes are searched by a graph: clusters around medoids overlap (each vector is in its two nearest), each
 cluster gives its members a candidate list, robust pruning keeps diverse neighbours, the lists of both clusters are
 united into one flat graph, and a greedy search from the nearest medoid finds each vector's place, from where a range
-search expands over all neighbours above a slack. Found pairs are verified by cosine in double precision. A sample of
-each shard (rows at fixed places, and rows whose nearest neighbour in the graph is linked) is audited against brute force;
-while recall is under `recall`, the slack widens, and at last, or where the sample has no link to audit by, blocks of all
-pairs of the shard are compared. Homes and guests are always compared in blocks of all pairs. So the audit covers all
-that is not exact, and no link depends on two shards finding it.
+search expands over all neighbours above a slack. Found pairs are verified by cosine in double precision. An exact check
+follows in every shard, over all its rows and not over a sample: what the graph did not reach is added, so no link
+depends on the graph, on the order of rows, or on two shards. The slack is fixed and an expansion that would visit more
+than `room` pairs for a block of queries ends there (dense shards), so the search costs in proportion to the rows and the
+check a matrix product of at most `most` rows. Homes and guests are always compared in blocks of all pairs.
 
 Shards return a row per vector: the number of its links and a root, never pairs.
 
@@ -114,64 +114,64 @@ def greedy(x: np.ndarray, graph: np.ndarray, medoids: np.ndarray, q: np.ndarray)
     return at
 
 
-def expand(x: np.ndarray, graph: np.ndarray, q: np.ndarray, start: list[np.ndarray], slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, node, cosine) of all nodes reached from the starts over nodes with cosine >= slack."""
+def expand(x: np.ndarray, graph: np.ndarray, q: np.ndarray, start: list[np.ndarray], slack: float, room: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, node, cosine) of the nodes reached from the starts over nodes with cosine >= slack; a step that would visit more than `room` pairs in all is not taken."""
     m = np.int64(len(x))
-    front = np.unique(np.concatenate([np.arange(len(q)) * m + s for s in start]))
-    seen, out = front, []
-    while len(front):
+    seen, tag = np.zeros(len(q) * m, bool), np.zeros(len(q) * m, np.int32)
+
+    def unseen(keys: np.ndarray) -> np.ndarray:
+        keys = keys[~seen[keys]]
+        no = np.arange(len(keys), dtype=np.int32)
+        tag[keys] = no
+        seen[keys] = True
+        return keys[tag[keys] == no]  # each key once
+
+    front = unseen(np.concatenate([np.arange(len(q)) * m + s for s in start]))
+    out, visited = [(front[:0], front[:0], np.zeros(0, x.dtype))], 0
+    while len(front) and (not visited or visited + len(front) <= room):
+        visited += len(front)
         a, b = front // m, front % m
-        sim = np.empty(len(a))
+        sim = np.empty(len(a), x.dtype)
         for i in range(0, len(a), 1 << 17):
             sim[i : i + (1 << 17)] = np.einsum("ij,ij->i", q[a[i : i + (1 << 17)]], x[b[i : i + (1 << 17)]])
         fine = sim >= slack
         a, b = a[fine], b[fine]
         out.append((a, b, sim[fine]))
-        nxt = (a[:, None] * m + graph[b])[graph[b] >= 0]
-        front = np.setdiff1d(nxt, seen)
-        seen = np.union1d(seen, front)
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        front = unseen((a[:, None] * m + graph[b])[graph[b] >= 0])
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def shard_pairs(x: np.ndarray, least: float, recall: float = 0.98, audit: int = 32, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of unit vectors (double) that the graph finds with cosine >= least, in blocks."""
-    m = len(x)
-    if m < 2:
-        return
-    x32 = x.astype(np.float32)
+def graph_pairs(x32: np.ndarray, least: float, block: int = 256, slack: float = 0.08) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, row, other) of pairs of unit vectors that the graph's search finds with cosine of about `least` or more, for each block of rows."""
     graph, medoids = flat_graph(x32)
-    spread = lambda rows: rows[np.linspace(0, len(rows) - 1, min(audit, len(rows))).astype(int)]
-    first = np.where(graph[:, 0] >= 0, graph[:, 0], np.arange(m))
-    linked = np.flatnonzero((first != np.arange(m)) & (np.einsum("ij,ij->i", x32, x32[first]) >= least))
-    probe = np.unique(np.concatenate([spread(np.arange(m)), spread(linked)]) if len(linked) else spread(np.arange(m)))
-    truth = x[probe] @ x.T >= least
-    truth[np.arange(len(probe)), probe] = False
-    slack = least - 0.08 if truth.any() else -2  # without a link there is nothing to audit by
-
-    def search(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    for i in range(0, len(x32), block):
+        rows = np.arange(i, min(i + block, len(x32)))
         q = x32[rows]
-        a, b, sim = expand(x32, graph, q, [greedy(x32, graph, medoids, q), rows], slack)
-        near = (sim >= least - 1e-4) & (rows[a] != b)
-        a, b = rows[a[near]], b[near]
-        fine = np.einsum("ij,ij->i", x[a], x[b]) >= least
-        return a[fine], b[fine]
-
-    while slack > -1:
-        a, b = search(probe)
-        if len(a) >= recall * truth.sum():
-            break
-        slack = slack - 0.3 if slack > 0 else -2
-    if slack <= -1:  # the graph fails its audit, or has none
-        yield from block_pairs(x, None, least)
+        a, b, sim = expand(x32, graph, q, [greedy(x32, graph, medoids, q), rows], least - slack)
+        near = sim >= least - 1e-4
+        yield i, rows[a[near]], b[near]
+
+
+def shard_pairs(x: np.ndarray, least: float, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs i < j of unit vectors (double) with cosine >= least, in blocks: those that the graph finds, and what the check of all rows finds besides."""
+    if len(x) < 2:
         return
-    found = [np.zeros(0, np.int64)]
-    for i in range(0, m, block):
-        a, b = search(np.arange(i, min(i + block, m)))
-        found.append(np.minimum(a, b) * np.int64(m) + np.maximum(a, b))
-    pairs = np.unique(np.concatenate(found))
-    for i in range(0, len(pairs), 1 << 20):
-        part = pairs[i : i + (1 << 20)]
-        yield part // m, part % m
+    x32 = x.astype(np.float32)
+    for i, a, b in graph_pairs(x32, least, block):
+        lost = np.triu(x32[i : i + block] @ x32[i:].T >= least - 1e-4, 1)
+        a, b = a[a < b], b[a < b]
+        lost[a - i, b - i] = False
+        yield from verified(x, x, a, b, least)
+        a, b = np.nonzero(lost)
+        yield from verified(x, x, a + i, b + i, least)
+
+
+def verified(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those index pairs (of x, of y) whose cosine is >= least in double precision, in parts."""
+    for k in range(0, len(a), 1 << 17):
+        u, v = a[k : k + (1 << 17)], b[k : k + (1 << 17)]
+        fine = np.einsum("ij,ij->i", x[u], y[v]) >= least
+        yield u[fine], v[fine]
 
 
 def block_pairs(x: np.ndarray, y: np.ndarray | None, least: float, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -184,10 +184,7 @@ def block_pairs(x: np.ndarray, y: np.ndarray | None, least: float, block: int =
         a, b = a + i, b + from_
         if y is None:
             a, b = a[a < b], b[a < b]
-        for k in range(0, len(a), 1 << 17):
-            u, v = a[k : k + (1 << 17)], b[k : k + (1 << 17)]
-            fine = np.einsum("ij,ij->i", x[u], other[v]) >= least
-            yield u[fine], v[fine]
+        yield from verified(x, other, a, b, least)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:

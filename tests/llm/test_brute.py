@@ -283,6 +283,37 @@ def test_op6_sparse_shards_are_audited():
     assert [(int(a[0]), int(b[0])) for a, b in vector_dedup.shard_pairs(x, 0.98) if len(a)] == [(277, 501)]
 
 
+def test_op6_search_is_bounded_and_checked(monkeypatch):
+    """Two clumps of 500 near copies among 5,000 vectors: few pairs are visited, the graph alone finds most links, the check after it the rest."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((5000, 64))
+    for at in (0, 500):
+        x[at : at + 500] = x[at] + 0.1 * rng.standard_normal((500, 64))
+    x = x[rng.permutation(5000)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    truth = np.triu(x @ x.T >= 0.98, 1)
+    search, visited = vector_dedup.expand, []
+
+    def expand(*args):
+        out = search(*args)
+        visited.append(len(out[0]))
+        assert sum(visited) < 200 * len(x)
+        return out
+
+    monkeypatch.setattr(vector_dedup, "expand", expand)
+    found = np.zeros_like(truth)
+    for a, b in vector_dedup.shard_pairs(x, 0.98):
+        assert not found[a, b].any()
+        found[a, b] = True
+    assert np.array_equal(found, truth)
+    visited.clear()
+    graph = np.zeros_like(truth)
+    for _, a, b in vector_dedup.graph_pairs(x.astype(np.float32), 0.98):
+        graph[np.minimum(a, b), np.maximum(a, b)] = True
+    recall = (graph & truth).sum() / truth.sum()
+    assert 0.9 < recall < 1
+
+
 def test_op7_odd_rows(spark):
     long = "http://example.com/en/7/" + "a/?" * 5 + "b" * 300_000
     urls = ["http://example.com/en/7", "http://example.com/en/7", None, "://", "x", long, "http://" + "h" * 200_000 + ".org/es/1", "http://" + "h" * 200_000]
