@@ -174,17 +174,20 @@ def verified(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, least:
         yield u[fine], v[fine]
 
 
-def block_pairs(x: np.ndarray, y: np.ndarray | None, least: float, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All index pairs (of x, of y) of unit vectors with cosine >= least, in blocks; without y, pairs i < j of x."""
+def block_pairs(x: np.ndarray, y: np.ndarray | None, least: float, block: int = 256, wide: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs (of x, of y) of unit vectors with cosine >= least, in blocks that stay in cache; without y, pairs i < j of x."""
     other = x if y is None else y
     x32, y32 = x.astype(np.float32), other.astype(np.float32)
     for i in range(0, len(x), block):
-        from_ = i if y is None else 0
-        a, b = np.nonzero(x32[i : i + block] @ y32[from_:].T >= least - 1e-4)
-        a, b = a + i, b + from_
-        if y is None:
-            a, b = a[a < b], b[a < b]
-        yield from verified(x, other, a, b, least)
+        for j in range(i if y is None else 0, len(other), wide):
+            near = x32[i : i + block] @ y32[j : j + wide].T >= least - 1e-4
+            if not near.any():
+                continue
+            a, b = np.nonzero(near)
+            a, b = a + i, b + j
+            if y is None:
+                a, b = a[a < b], b[a < b]
+            yield from verified(x, other, a, b, least)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
